@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, language, url_filter
+from quern.llm import bpe, language, url_filter, webp
 from quern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +25,12 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.learn(language.learning_rows(docs)))
 
 
+def op10_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.store_texts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_url_filter": op1_url_filter, "op2_bpe": op2_bpe, "op9_language": op9_language}
+    return {"op1_url_filter": op1_url_filter, "op2_bpe": op2_bpe, "op9_language": op9_language, "op10_webp": op10_webp}
 
 
 def oracle_sql() -> dict[str, str]:
