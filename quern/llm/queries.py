@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, language, packing, url_filter, webp
+from quern.llm import bpe, language, packing, simhash, url_filter, webp
 from quern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.predict(docs, language.learn(language.learning_rows(docs)))
@@ -34,7 +38,7 @@ def op10_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_url_filter": op1_url_filter, "op2_bpe": op2_bpe, "op4_packing": op4_packing, "op9_language": op9_language, "op10_webp": op10_webp}
+    return {"op1_url_filter": op1_url_filter, "op2_bpe": op2_bpe, "op4_packing": op4_packing, "op8_simhash": op8_simhash, "op9_language": op9_language, "op10_webp": op10_webp}
 
 
 def oracle_sql() -> dict[str, str]:
