@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import bpe, language, packing, simhash, url_filter, webp
+from quern.llm import bpe, kdtree, language, line_dedup, packing, simhash, toxicity, url_filter, webp
 from quern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +25,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,8 +51,8 @@ def op10_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_url_filter": op1_url_filter, "op2_bpe": op2_bpe, "op4_packing": op4_packing, "op8_simhash": op8_simhash, "op9_language": op9_language, "op10_webp": op10_webp}
+    return {"op1_url_filter": op1_url_filter, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_kdtree": op5_kdtree, "op6_line_dedup": op6_line_dedup, "op8_simhash": op8_simhash, "op9_language": op9_language, "op10_webp": op10_webp}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.oracle()}
+    return {"op1_url_filter": url_filter.oracle(), "op5_kdtree": kdtree.oracle(), "op6_line_dedup": line_dedup.oracle()}
