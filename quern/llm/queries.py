@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, kdtree, language, line_dedup, packing, simhash, toxicity, url_filter, webp
+from quern.llm import bpe, kdtree, language, line_dedup, packing, simhash, substring_dedup, toxicity, url_filter, webp
 from quern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All copies go, the first too."""
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"), keep_first=False, digest=True)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,7 +56,7 @@ def op10_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_url_filter": op1_url_filter, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_kdtree": op5_kdtree, "op6_line_dedup": op6_line_dedup, "op8_simhash": op8_simhash, "op9_language": op9_language, "op10_webp": op10_webp}
+    return {"op1_url_filter": op1_url_filter, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_kdtree": op5_kdtree, "op6_line_dedup": op6_line_dedup, "op7_suffix_array": op7_suffix_array, "op8_simhash": op8_simhash, "op9_language": op9_language, "op10_webp": op10_webp}
 
 
 def oracle_sql() -> dict[str, str]:
