@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm.common import slices
 
@@ -123,15 +124,18 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
         return names, scores
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            names, scores = guess(batch.column("_text").to_pylist())
-            kept = [batch.column(c) for c in out]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*out, "lang_pred", "score"])
-
-    held = F.coalesce(fold(F.col(id_col)) % 4 == 2, F.lit(False)).alias("held_out")
-    df = docs.select(F.col(text_col).alias("_text"), *([F.col(id_col).alias("doc_id"), held] if keep is None else keep))
+        for batch in slices(batches, text):
+            names, scores = guess(batch.column(text).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*out, "lang_pred", "score"])
+
+    if keep is None:
+        held = F.coalesce(fold(F.col(id_col)) % 4 == 2, F.lit(False)).alias("held_out")
+        df, text = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("doc_id"), held), "_text"
+    else:
+        df, text = docs.select(*dict.fromkeys([*keep, text_col])), text_col
     out = [c for c in df.columns if c != "_text"]
-    return df.mapInArrow(run, ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in out) + ", lang_pred string, score double")
+    schema = T.StructType([*(df.schema[c] for c in out), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return df.mapInArrow(run, schema)
 
 
 def learning_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

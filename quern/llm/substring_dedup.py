@@ -297,7 +297,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, keep_first: bool = True, id_col:
 
     Bytes that removal leaves as half a character are dropped from the text, not from the digest.
     """
-    rows = with_uid(docs, id_col)
+    names, rows = docs.columns, with_uid(docs, id_col)
     rows = rows.withColumn("_text", F.col(text_col)) if not digest else rows.select("_uid", F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     ranges = removed_ranges(rows, width, gram, keep_first)
     joined = rows.join(ranges, rows["_uid"] == ranges["uid"], "left")
@@ -314,7 +314,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, keep_first: bool = True, id_col:
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             made = [t if not r else _kept(t.encode(), merge([(x["a"], x["b"]) for x in r])).decode("utf-8", "ignore") for t, r in zip(batch.column("_text").to_pylist(), batch.column("ranges").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()) if c == text_col else batch.column(c) for c in docs.columns], docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()) if c == text_col else batch.column(c) for c in names], names)
 
     if digest:
         return joined.select("doc_id", "_text", "ranges").mapInArrow(numbers, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
