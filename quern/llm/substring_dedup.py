@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from quern.llm.common import materialize, partitions, release, slices, with_uid
 
 WIDTH, GRAM, BLOCK = 200, 32, 1 << 20
-#: Classes of an anchor that one task sorts; beyond it the anchor's windows are dealt out one by one.
-CLASSES = 1024
+#: Classes of an anchor that one task sorts: about 3 MB of texts and 200 MB of sorting. Beyond it the anchor's windows are
+#: dealt out one by one, which takes some 85 rows a class, so it is left to groups that no task can hold.
+CLASSES = 8192
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
