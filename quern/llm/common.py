@@ -49,15 +49,15 @@ def release(df: DataFrame) -> None:
 
 
 def with_uid(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Adds `_uid`, one value per row: the id itself where ids are unique and not null.
+    """Adds `__q_uid`, one value per row: the id itself where ids are unique and not null.
 
     Otherwise (repeated rows, null ids) the table is written once with a number that rises with the id, so that every later
-    read of it sees the same numbers. Rows of one id are then told apart by `_uid`.
+    read of it sees the same numbers. Rows of one id are then told apart by `__q_uid`.
     """
     odd = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull())
     if odd.isEmpty():
-        return docs.withColumn("_uid", F.col(id_col).cast("long"))
-    return materialize(docs.orderBy(id_col).withColumn("_uid", F.monotonically_increasing_id()), "rows")
+        return docs.withColumn("__q_uid", F.col(id_col).cast("long"))
+    return materialize(docs.orderBy(id_col).withColumn("__q_uid", F.monotonically_increasing_id()), "rows")
 
 
 def partitions(spark: SparkSession) -> int:

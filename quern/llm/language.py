@@ -105,7 +105,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, dim: int = DIM, seed: int = SEE
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred and score for every row; with `keep`, those columns of docs and lang_pred, score."""
+    """doc_id, held_out, lang_pred and score for every row; with `keep`, those columns of docs and __q_lang, __q_score."""
     langs, made = model
     dim = made.shape[1]
 
@@ -126,15 +126,16 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             names, scores = guess(batch.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*out, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*out, *names_out])
 
+    names_out = ["lang_pred", "score"] if keep is None else ["__q_lang", "__q_score"]
     if keep is None:
         held = F.coalesce(fold(F.col(id_col)) % 4 == 2, F.lit(False)).alias("held_out")
         df, text = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("doc_id"), held), "_text"
     else:
         df, text = docs.select(*dict.fromkeys([*keep, text_col])), text_col
     out = [c for c in df.columns if c != "_text"]
-    schema = T.StructType([*(df.schema[c] for c in out), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(df.schema[c] for c in out), T.StructField(names_out[0], T.StringType()), T.StructField(names_out[1], T.DoubleType())])
     return df.mapInArrow(run, schema)
 
 

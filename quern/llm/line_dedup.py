@@ -30,7 +30,7 @@ def _place() -> list[str]:
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, uid, pos and the line's id as two 64-bit numbers."""
-    lines = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col("_uid").alias("uid"), F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
+    lines = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col("__q_uid").alias("uid"), F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
     return lines.select("doc_id", "uid", "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
 
 
@@ -75,26 +75,26 @@ def repeats(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id",
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs with the text deduplicated, and _n_lines, _n_removed, _n_runs."""
+    """All columns of docs with the text deduplicated, and __q_n_lines, __q_n_removed, __q_n_runs."""
     rows = with_uid(docs, id_col)
     found = repeats(rows, min_lines, id_col, text_col)
-    gone = found.select(F.col("uid").alias("_uid"), F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1))).alias("pos"))
-    gone = gone.groupBy("_uid").agg(F.sort_array(F.collect_set("pos")).alias("_gone"))
+    gone = found.select(F.col("uid").alias("__q_uid"), F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1))).alias("pos"))
+    gone = gone.groupBy("__q_uid").agg(F.sort_array(F.collect_set("pos")).alias("__q_gone"))
     lines, none = F.split(text_col, "\n", -1), F.array().cast("array<int>")
-    gone_or_none = F.coalesce("_gone", none)
+    gone_or_none = F.coalesce("__q_gone", none)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone_or_none), lambda i: F.element_at(lines, i + 1))
     runs = F.size(F.filter(gone_or_none, lambda x, i: (i == 0) | (F.element_at(gone_or_none, F.greatest(i, F.lit(1))) != x - 1)))
-    joined = rows.join(gone, "_uid", "left")
+    joined = rows.join(gone, "__q_uid", "left")
     return joined.select(
-        *[F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias(text_col) if c == text_col else c for c in docs.columns],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_n_lines"), F.size(gone_or_none).cast("long").alias("_n_removed"), runs.cast("long").alias("_n_runs"),
+        *[F.when(F.col("__q_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias(text_col) if c == text_col else c for c in docs.columns],
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__q_n_lines"), F.size(gone_or_none).cast("long").alias("__q_n_removed"), runs.cast("long").alias("__q_n_runs"),
     )
 
 
 def digest(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """doc_id, n_lines, n_removed, n_runs, kept_sha256 (of the remaining text; null for a null text)."""
     out = dedup_lines(docs.select("doc_id", "text"), min_lines)
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_n_runs").alias("n_runs"), F.sha2("text", 256).alias("kept_sha256"))
+    return out.select("doc_id", F.col("__q_n_lines").alias("n_lines"), F.col("__q_n_removed").alias("n_removed"), F.col("__q_n_runs").alias("n_runs"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 #: DuckDB: deduplicated documents, from the table named DOCS, for min_lines = 2.

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import materialize, partitions, release, slices, with_uid
 
-WIDTH, GRAM, BLOCK = 200, 32, 1 << 20
+WIDTH, GRAM, BLOCK = 200, 32, 1 << 19
 #: Classes of an anchor that one task sorts: about 3 MB of texts and 200 MB of sorting. Beyond it the anchor's windows are
 #: dealt out one by one, which takes some 85 rows a class, so it is left to groups that no task can hold.
 CLASSES = 8192
@@ -74,7 +74,7 @@ def window_runs(data: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple
 def _segments(batch: pa.RecordBatch, width: int) -> Iterator[list[tuple[int, int, bytes]]]:
     """Lists of (row, offset, bytes) of about BLOCK bytes; long texts in blocks that overlap by width - 1."""
     held, size = [], 0
-    for row, text in enumerate(batch.column("_text").to_pylist()):
+    for row, text in enumerate(batch.column("__q_text").to_pylist()):
         raw = (text or "").encode()
         for at in range(0, max(0, len(raw) - width + 1), BLOCK):
             held.append((row, at, raw[at : at + BLOCK + width - 1]))
@@ -93,8 +93,8 @@ def anchors(docs: DataFrame, width: int, gram: int) -> DataFrame:
         import xxhash
 
         digest = xxhash.xxh3_64_intdigest
-        for batch in slices(batches, "_text", BLOCK):
-            uids = batch.column("_uid").to_numpy()
+        for batch in slices(batches, "__q_text", BLOCK):
+            uids = batch.column("__q_uid").to_numpy()
             for held in _segments(batch, width):
                 raw = b"".join(s[2] for s in held)
                 sizes = np.array([len(s[2]) for s in held])
@@ -116,7 +116,7 @@ def anchors(docs: DataFrame, width: int, gram: int) -> DataFrame:
                     ["uid", "off", "fp", "sig", "full"],
                 )
 
-    return docs.select("_uid", "_text").where(F.col("_text").isNotNull()).mapInArrow(run, "uid long, off long, fp long, sig int, full long")
+    return docs.select("__q_uid", "__q_text").where(F.col("__q_text").isNotNull()).mapInArrow(run, "uid long, off long, fp long, sig int, full long")
 
 
 def equal_windows(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,9 +170,9 @@ def _fetch(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     lists = wanted.groupBy("uid").agg(F.collect_list(F.struct("fp", "sig", "full", "n", "off")).alias("cut"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", BLOCK):
+        for batch in slices(batches, "__q_text", BLOCK):
             cols: list[list] = [[] for _ in range(7)]
-            for text, uid, cut in zip(batch.column("_text").to_pylist(), batch.column("uid").to_pylist(), batch.column("cut").to_pylist(), strict=True):
+            for text, uid, cut in zip(batch.column("__q_text").to_pylist(), batch.column("uid").to_pylist(), batch.column("cut").to_pylist(), strict=True):
                 raw = text.encode()
                 for c in cut:
                     row = (c["fp"], c["sig"], c["full"], c["n"], uid, c["off"], raw[c["off"] : c["off"] + c["sig"] % 256 + width - 1])
@@ -181,7 +181,7 @@ def _fetch(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], _CLASS)
 
-    joined = rows.select(F.col("_uid").alias("uid"), "_text").join(lists, "uid").select("uid", "_text", "cut")
+    joined = rows.select(F.col("__q_uid").alias("uid"), "__q_text").join(lists, "uid").select("uid", "__q_text", "cut")
     return joined.mapInArrow(run, "fp long, sig int, full long, n long, uid long, off long, bytes binary")
 
 
@@ -245,7 +245,7 @@ def _dealt_windows(contexts: DataFrame, width: int, keep_first: bool) -> DataFra
 
 
 def removed_ranges(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, keep_first: bool = True) -> DataFrame:
-    """uid and its removed byte ranges (a, b), which may overlap; for rows with columns _uid and _text."""
+    """uid and its removed byte ranges, __q_ranges of (a, b), which may overlap; for rows with columns __q_uid and __q_text."""
     every = materialize(anchors(rows, width, gram), "anchors")
     twice = every.groupBy("fp").agg(F.count(F.lit(1)).alias("tot")).where(F.col("tot") > 1).select("fp")
     found = materialize(every.join(twice, "fp"), "occurrences")
@@ -271,7 +271,7 @@ def removed_ranges(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, keep_f
     joined = found.join(answers, ["fp", "sig", "full"])
     own = (F.col("uid") == F.col("uid0")) & (F.col("off") == F.col("off0"))
     ranges = joined.select("uid", "off", F.explode(F.when(own, F.col("first")).otherwise(F.array(F.struct(F.lit(0).alias("a"), (F.col("sig") % 256 - 1).alias("b"))))).alias("r"))
-    return ranges.select("uid", F.struct((F.col("off") + F.col("r.a")).alias("a"), (F.col("off") + F.col("r.b") + width).alias("b")).alias("r")).groupBy("uid").agg(F.collect_list("r").alias("ranges"))
+    return ranges.select("uid", F.struct((F.col("off") + F.col("r.a")).alias("a"), (F.col("off") + F.col("r.b") + width).alias("b")).alias("r")).groupBy("uid").agg(F.collect_list("r").alias("__q_ranges"))
 
 
 def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -299,25 +299,25 @@ def dedup(docs: DataFrame, width: int = WIDTH, keep_first: bool = True, id_col:
     Bytes that removal leaves as half a character are dropped from the text, not from the digest.
     """
     names, rows = docs.columns, with_uid(docs, id_col)
-    rows = rows.withColumn("_text", F.col(text_col)) if not digest else rows.select("_uid", F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    rows = rows.withColumn("__q_text", F.col(text_col)) if not digest else rows.select("__q_uid", F.col(id_col).alias("doc_id"), F.col(text_col).alias("__q_text"))
     ranges = removed_ranges(rows, width, gram, keep_first)
-    joined = rows.join(ranges, rows["_uid"] == ranges["uid"], "left")
+    joined = rows.join(ranges.withColumnRenamed("uid", "__q_uid"), "__q_uid", "left")
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "__q_text"):
             cols: list[list] = [[] for _ in range(4)]
-            for text, found in zip(batch.column("_text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+            for text, found in zip(batch.column("__q_text").to_pylist(), batch.column("__q_ranges").to_pylist(), strict=True):
                 raw, spans = (text or "").encode(), merge([(r["a"], r["b"]) for r in found or ()])
                 for col, v in zip(cols, (len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_kept(raw, spans)).hexdigest()), strict=True):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            made = [t if not r else _kept(t.encode(), merge([(x["a"], x["b"]) for x in r])).decode("utf-8", "ignore") for t, r in zip(batch.column("_text").to_pylist(), batch.column("ranges").to_pylist(), strict=True)]
+        for batch in slices(batches, "__q_text"):
+            made = [t if not r else _kept(t.encode(), merge([(x["a"], x["b"]) for x in r])).decode("utf-8", "ignore") for t, r in zip(batch.column("__q_text").to_pylist(), batch.column("__q_ranges").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()) if c == text_col else batch.column(c) for c in names], names)
 
     if digest:
-        return joined.select("doc_id", "_text", "ranges").mapInArrow(numbers, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        return joined.select("doc_id", "__q_text", "__q_ranges").mapInArrow(numbers, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     others = [c for c in docs.columns if c != text_col]
-    return joined.select(*others, "_text", "ranges").mapInArrow(texts, docs.schema)
+    return joined.select(*others, "__q_text", "__q_ranges").mapInArrow(texts, docs.schema)
