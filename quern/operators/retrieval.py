@@ -89,7 +89,7 @@ def dense_top_k(vectors: DataFrame, is_query: Column, k: int, shard: int = 16384
 
 def sparse_scores(passages: DataFrame, queries: DataFrame) -> DataFrame:
     """item_id, pid, score: dot products of sparse vectors (key, term, weight), joined on the term."""
-    return queries.join(passages.withColumnRenamed("weight", "pw"), "term").groupBy("item_id", "pid").agg(F.round(F.sum(F.col("weight") * F.col("pw")), 9).alias("score"))
+    return queries.join(passages.withColumnRenamed("weight", "pw"), "term").groupBy("item_id", "pid").agg(F.round(F.sum(F.col("weight") * F.col("pw")), 6).alias("score"))
 
 
 def min_max(scores: DataFrame, n_passages: int | Column, by: str = "item_id") -> DataFrame:

@@ -43,9 +43,9 @@ def _hits(t: Tables) -> tuple[DataFrame, DataFrame]:
     return chunks, R.bm25(chunks, t.benchmark.select("item_id", X.tokens(F.col("text")).alias("tok")))
 
 
-@query("bm25_topk", f"WITH {_BM25_SQL} SELECT item_id, pid, round(score, 4) AS score, rank FROM hits")
+@query("bm25_topk", f"WITH {_BM25_SQL} SELECT item_id, pid, score, rank FROM hits")
 def bm25_topk(t: Tables) -> DataFrame:
-    return _hits(t)[1].select("item_id", "pid", F.round("score", 4).alias("score"), "rank")
+    return _hits(t)[1].select("item_id", "pid", "score", "rank")
 
 
 _REL_SQL = f"""{_BM25_SQL}, gold AS (SELECT item_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: array_to_string({tokens('lower(l)')}, ' ')), lambda l: l <> '') AS lines FROM benchmark),
@@ -97,9 +97,9 @@ def _dense(t: Tables) -> DataFrame:
     return R.dense_top_k(t.embeddings, F.col("vec_id") % 100 == 0, 30)
 
 
-@query("dense_topk", f"WITH {_DENSE_SQL} SELECT query_id, vec_id, round(score, 4) AS score, rank FROM dense")
+@query("dense_topk", f"WITH {_DENSE_SQL} SELECT query_id, vec_id, score, rank FROM dense")
 def dense_topk(t: Tables) -> DataFrame:
-    return _dense(t).select("query_id", "vec_id", F.round("score", 4).alias("score"), "rank")
+    return _dense(t).select("query_id", "vec_id", "score", "rank")
 
 
 @query(
@@ -119,7 +119,7 @@ _SPARSE_SQL = f"""{_chunks_sql(480, 400)}, pw AS (SELECT pid, w, pos FROM (SELEC
 pv AS (SELECT pid, w AS term, round(max(ln(1 + greatest({_LOGIT}, 0.0))), 6) AS weight FROM pw GROUP BY pid, w),
 qw AS (SELECT item_id, unnest(tk) AS w, generate_subscripts(tk, 1) - 1 AS pos FROM (SELECT item_id, {tokens('lower(text)')} AS tk FROM benchmark)),
 qv AS (SELECT item_id, w AS term, round(max(ln(1 + greatest({_LOGIT}, 0.0))), 6) AS weight FROM qw GROUP BY item_id, w),
-sc AS (SELECT item_id, pid, round(sum(q.weight * p.weight), 9) AS score FROM qv q JOIN pv p USING (term) WHERE q.weight > 0 AND p.weight > 0 GROUP BY item_id, pid)"""
+sc AS (SELECT item_id, pid, round(sum(q.weight * p.weight), 6) AS score FROM qv q JOIN pv p USING (term) WHERE q.weight > 0 AND p.weight > 0 GROUP BY item_id, pid)"""
 
 
 def _sparse(df: DataFrame, key: str, tok) -> DataFrame:
@@ -138,9 +138,9 @@ def _sparse_scores(t: Tables) -> tuple[DataFrame, DataFrame]:
     return chunks, R.sparse_scores(_sparse(chunks, "pid", F.col("tok")).where("weight > 0"), _sparse(t.benchmark, "item_id", X.tokens(F.col("text"))).where("weight > 0"))
 
 
-@query("sparse_topk", f"WITH {_SPARSE_SQL} SELECT item_id, pid, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, pid) AS BIGINT) AS rank FROM sc QUALIFY rank <= 20")
+@query("sparse_topk", f"WITH {_SPARSE_SQL} SELECT item_id, pid, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, pid) AS BIGINT) AS rank FROM sc QUALIFY rank <= 20")
 def sparse_topk(t: Tables) -> DataFrame:
-    return R.top(_sparse_scores(t)[1], 20, "item_id", F.desc("score"), "pid").withColumn("score", F.round("score", 4))
+    return R.top(_sparse_scores(t)[1], 20, "item_id", F.desc("score"), "pid")
 
 
 _NORM_SQL = f"""{_SPARSE_SQL}, nn AS (SELECT count(*) AS n FROM chunks), mm AS (SELECT item_id, CASE WHEN count(*) < any_value(n) THEN least(min(score), 0.0) ELSE min(score) END AS lo, max(score) AS hi FROM sc, nn GROUP BY item_id),
@@ -157,11 +157,11 @@ def minmax_norm(t: Tables) -> DataFrame:
     "bridge_fuse",
     f"""WITH {_NORM_SQL}, seeds AS (SELECT item_id, pid, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(norm, 9) DESC, pid) AS BIGINT) AS seed FROM nm QUALIFY seed <= 3),
 bt AS (SELECT item_id, seed, term, weight FROM seeds JOIN pv USING (pid) QUALIFY row_number() OVER (PARTITION BY item_id, seed ORDER BY weight DESC, term) <= 24),
-bs AS (SELECT item_id, seed, p.pid, round(sum(b.weight * p.weight), 9) AS score FROM bt b JOIN pv p USING (term) WHERE p.weight > 0 GROUP BY item_id, seed, p.pid),
+bs AS (SELECT item_id, seed, p.pid, round(sum(b.weight * p.weight), 6) AS score FROM bt b JOIN pv p USING (term) WHERE p.weight > 0 GROUP BY item_id, seed, p.pid),
 bm AS (SELECT item_id, seed, CASE WHEN count(*) < any_value(n) THEN least(min(score), 0.0) ELSE min(score) END AS lo, max(score) AS hi FROM bs, nn GROUP BY item_id, seed),
 bn AS (SELECT item_id, pid, max(CASE WHEN hi <= lo THEN 0.0 ELSE (score - lo) / (hi - lo) END) AS bridge FROM bs JOIN bm USING (item_id, seed) GROUP BY item_id, pid),
 fu AS (SELECT item_id, pid, round(coalesce(norm, 0) + 0.7 * coalesce(bridge, 0), 9) AS score FROM nm FULL JOIN bn USING (item_id, pid))
-SELECT item_id, pid, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, pid) AS BIGINT) AS rank FROM fu QUALIFY rank <= 10""",
+SELECT item_id, pid, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, pid) AS BIGINT) AS rank FROM fu QUALIFY rank <= 10""",
 )
 def bridge_fuse(t: Tables) -> DataFrame:
     """Terms of the best three passages ask again; base score plus 0.7 of the best bridge score."""
@@ -175,7 +175,7 @@ def bridge_fuse(t: Tables) -> DataFrame:
     asked = terms.select(F.struct("item_id", "seed").alias("item_id"), "term", "weight")
     bridge = R.min_max(R.sparse_scores(weighted, asked), n).groupBy(F.col("item_id.item_id").alias("item_id"), "pid").agg(F.max("norm").alias("bridge"))
     fused = base.select("item_id", "pid", "norm").join(bridge, ["item_id", "pid"], "full").select("item_id", "pid", F.round(F.coalesce("norm", F.lit(0.0)) + 0.7 * F.coalesce("bridge", F.lit(0.0)), 9).alias("score"))
-    return R.top(fused, 10, "item_id", F.desc("score"), "pid").select("item_id", "pid", F.round("score", 4).alias("score"), "rank")
+    return R.top(fused, 10, "item_id", F.desc("score"), "pid").select("item_id", "pid", "score", "rank")
 
 
 _LISTS_SQL = f"{_BM25_SQL}, {_SPARSE_SQL.partition(', pw AS')[1].lstrip(', ')}{_SPARSE_SQL.partition(', pw AS')[2]}, sp AS (SELECT item_id, pid, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, pid) AS BIGINT) AS rank FROM sc QUALIFY rank <= 30)"
@@ -187,10 +187,10 @@ def _lists(t: Tables) -> tuple[DataFrame, DataFrame]:
     return lexical, sparse
 
 
-@query("rrf_fusion", f"WITH {_LISTS_SQL}, u AS (SELECT item_id AS query_id, pid AS key, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT item_id, pid, rank FROM hits UNION ALL SELECT item_id, pid, rank FROM sp) GROUP BY item_id, pid) SELECT query_id, key, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS BIGINT) AS rank FROM u QUALIFY rank <= 60")
+@query("rrf_fusion", f"WITH {_LISTS_SQL}, u AS (SELECT item_id AS query_id, pid AS key, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT item_id, pid, rank FROM hits UNION ALL SELECT item_id, pid, rank FROM sp) GROUP BY item_id, pid) SELECT query_id, key, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS BIGINT) AS rank FROM u QUALIFY rank <= 60")
 def rrf_fusion(t: Tables) -> DataFrame:
     lexical, sparse = _lists(t)
-    return R.top(R.rank_fusion(lexical.union(sparse)), 60, "query_id", F.desc("score"), "key").select("query_id", "key", F.round("score", 6).alias("score"), "rank")
+    return R.top(R.rank_fusion(lexical.union(sparse)), 60, "query_id", F.desc("score"), "key").select("query_id", "key", "score", "rank")
 
 
 @query("candidate_union", f"WITH {_LISTS_SQL}, u AS (SELECT item_id AS query_id, pid AS key, min([l, rank]) AS p FROM (SELECT item_id, pid, 0 AS l, rank FROM hits UNION ALL SELECT item_id, pid, 1, rank FROM sp) GROUP BY item_id, pid) SELECT query_id, key, CAST(row_number() OVER (PARTITION BY query_id ORDER BY p, key) AS BIGINT) AS pos FROM u")
@@ -205,12 +205,12 @@ b AS (SELECT query_id, pid, i, max({_DOT.format(a='qv', b='pv')}) AS best FROM q
 s AS (SELECT query_id, pid, round(sum(best), 6) AS score FROM b GROUP BY query_id, pid)"""
 
 
-@query("maxsim_rerank", f"WITH {_MAXSIM_SQL} SELECT query_id, pid, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pid) AS BIGINT) AS rank FROM s QUALIFY rank <= 10")
+@query("maxsim_rerank", f"WITH {_MAXSIM_SQL} SELECT query_id, pid, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pid) AS BIGINT) AS rank FROM s QUALIFY rank <= 10")
 def maxsim_rerank(t: Tables) -> DataFrame:
     """Passages of eight token vectors; queries are the passages whose first vector's id is divisible by 100."""
     made = t.embeddings.groupBy(F.floor(F.col("vec_id") / 8).cast("long").alias("pid")).agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("vecs"))
     asked = made.where(F.col("pid") * 8 % 100 == 0).select(F.col("pid").alias("query_id"), F.col("vecs").alias("qvecs"))
-    return late_interaction(made, asked, 10).select("query_id", "pid", F.round("score", 4).alias("score"), "rank")
+    return late_interaction(made, asked, 10).select("query_id", "pid", "score", "rank")
 
 
 def late_interaction(passages: DataFrame, asked: DataFrame, k: int, blocks: int = 64) -> DataFrame:

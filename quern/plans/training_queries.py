@@ -101,13 +101,13 @@ def repeat_to_length(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", F.md5(F.array_join(A.repeated_to(F.split("text", " "), 1000), " ")).alias("ids"))
 
 
-@query("subsequence_search", f"WITH {_TOK}, s AS (SELECT doc_id, list_filter(range(0, len(tok) - 1), lambda i: lower(tok[i + 1]) = 'of' AND lower(tok[i + 2]) = 'the') AS places FROM tk) SELECT doc_id, CAST(len(places) AS INTEGER) AS hits, CAST(places[1] AS INTEGER) AS first, CAST(places[len(places)] AS INTEGER) AS last FROM s")
+@query("subsequence_search", f"WITH {_TOK}, s AS (SELECT doc_id, list_filter(range(0, len(tok) - 1), lambda i: lower(tok[i + 1]) = 'of' AND lower(tok[i + 2]) = 'the') AS places FROM tk) SELECT doc_id, CAST(len(places) AS INTEGER) AS hits, coalesce(CAST(places[1] AS INTEGER), -1) AS first, coalesce(CAST(places[len(places)] AS INTEGER), -1) AS last FROM s")
 def subsequence_search(t: Tables) -> DataFrame:
     d = _tok(t).select("doc_id", F.transform("tok", F.lower).alias("tok"))
     # Positions of the pattern's first word are few: only they are compared with the pattern.
     pattern = F.array(F.lit("of"), F.lit("the"))
     at = d.select("doc_id", F.filter(F.transform("tok", lambda w, i: F.when((w == "of") & (F.slice("tok", i + 1, 2) == pattern), i)), lambda i: i.isNotNull()).alias("at"))
-    return at.select("doc_id", F.size("at").alias("hits"), F.try_element_at("at", F.lit(1)).alias("first"), F.try_element_at("at", F.lit(-1)).alias("last"))
+    return at.select("doc_id", F.size("at").alias("hits"), F.coalesce(F.try_element_at("at", F.lit(1)), F.lit(-1)).alias("first"), F.coalesce(F.try_element_at("at", F.lit(-1)), F.lit(-1)).alias("last"))
 
 
 _ITEMS = f"it AS (SELECT doc_id // 125 AS batch_id, doc_id AS pos, len({tokens('text')}) AS len, length(text) AS ctx_len FROM documents)"
