@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -13,29 +14,38 @@ BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li td th figcaption".split())
 HIDDEN = frozenset("script style noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Classes of page furniture.
-FURNITURE = frozenset("reference reflist navbox infobox metadata mw-editsection toc sidebar thumb hatnote".split())
+FURNITURE = frozenset("reference mw-editsection reflist hatnote mw-jump-link catlinks navbox vertical-navbox metadata mw-empty-elt".split())
+#: The page's content is the first element with this id, else the first of these, else all.
+CONTENT_ID, CONTENT_TAGS = "mw-content-text", ("main", "body")
+_MARKS = re.compile(r"\[(?:\d+|edit|citation needed|source)\]", re.IGNORECASE)
 
 
 class _Blocks(HTMLParser):
-    """Collects each block element's text, that of nested blocks too, in the order in which blocks begin."""
+    """Collects each block element's strings, those of nested blocks too, in the order in which blocks begin.
+
+    An element ends at its end tag or that of one around it; unclosed ones nest.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, list[str] | None, bool]] = []
-        self.blocks: list[list[str]] = []
+        self.stack: list[tuple[str, list[str] | None, bool, frozenset]] = []
+        self.blocks: list[tuple[list[str], frozenset]] = []
+        self.roots: set[str] = set()
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID:
-            if tag == "br":
-                self.handle_data(" ")
             return
-        hidden = tag in HIDDEN or bool(FURNITURE & set((dict(attrs).get("class") or "").split()))
+        found = dict(attrs)
+        hidden = tag in HIDDEN or bool(FURNITURE & set((found.get("class") or "").split()))
+        inside = self.stack[-1][3] if self.stack else frozenset()
+        kind = CONTENT_ID if found.get("id") == CONTENT_ID else tag if tag in CONTENT_TAGS else None
         parts = [] if tag in BLOCKS else None
         if parts is not None:
-            if tag in ("p", "li") and any(t == tag for t, _, _ in self.stack):
-                self.handle_endtag(tag)  # an unclosed one ends here
-            self.blocks.append(parts)
-        self.stack.append((tag, parts, hidden))
+            self.blocks.append((parts, inside))
+        if kind and kind not in self.roots:
+            self.roots.add(kind)
+            inside |= {kind}
+        self.stack.append((tag, parts, hidden, inside))
 
     def handle_endtag(self, tag):
         for i in range(len(self.stack) - 1, -1, -1):
@@ -44,20 +54,22 @@ class _Blocks(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if not any(hidden for _, _, hidden in self.stack):
-            for _, parts, _ in self.stack:
+        if data.strip() and not any(hidden for _, _, hidden, _ in self.stack):
+            for _, parts, _, _ in self.stack:
                 if parts is not None:
-                    parts.append(data)
+                    parts.append(data.strip())
 
 
 def html_blocks(html: str | None) -> list[str]:
+    """Text blocks of a page's content; a block equal to the one before is left out."""
     parser = _Blocks()
     parser.feed(html or "")
     parser.close()
-    found = [" ".join("".join(parts).split()) for parts in parser.blocks]
+    root = next((k for k in (CONTENT_ID, *CONTENT_TAGS) if k in parser.roots), None)
     out: list[str] = []
-    for block in found:
-        if block and (not out or out[-1] != block):
+    for parts, inside in parser.blocks:
+        block = " ".join(_MARKS.sub("", " ".join(parts)).split())
+        if (root is None or root in inside) and block and (not out or out[-1] != block):
             out.append(block)
     return out
 

@@ -43,6 +43,8 @@ def test_extractors(spark):
     assert one(spark, X.sub_queries(F.col("q"), F.col("t")), q="main", t="1. first one\n- no\n* second") == ["main", "first one", "second"]
     assert one(spark, X.with_full_stop(F.col("t")), t="ab") == "ab." and one(spark, X.human_bytes(F.col("t")), t=2048.0) == "2.00 KB"
     assert len(X.REFUSALS) == 59
+    assert one(spark, X.page_url({"title": F.col("t"), "url": F.col("u")}, "https://w/"), t="A b", u=" ") == "https://w/A_b"
+    assert one(spark, X.context_of(F.col("p")), p=["x", "", "x", "y"]) == "x\n\ny"
 
 
 def test_metrics(spark):
