@@ -619,3 +619,36 @@ def test_pipeline(spark, tmp_path):
     assert [n for n, _ in C.STAGES] and C.ORACLE_SQL is None
     for _, stage in C.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_near_duplicate_stage(spark):
+    """Planted pairs with a similarity from 0.8 to 0.95 go, those below stay; chains and odd texts too."""
+    import corpus_pipeline as C
+
+    rnd = random.Random(12)
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    similar = lambda s, t: len(s & t) / len(s | t)
+    rows, at = [], []
+    for k in range(60):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.randint(150, 400))]
+        edited = list(words)
+        for p in range(2, len(words), rnd.choice([200, 90, 60, 50, 45, 40, 36, 30])):
+            edited[p] = "other"
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(edited))] + ([(3 * k + 2, " ".join(words).upper())] if k % 5 == 0 else [])
+        at.append(similar(grams(" ".join(words)), grams(" ".join(edited))))
+    assert sum(0.8 <= s <= 0.95 for s in at) > 20 and sum(s < 0.8 for s in at) > 10
+    chain = [f"c{k}" for k in range(200)]  # each is like the next, not like the first
+    rows += [(1000 + k, " ".join(chain[8 * k :] + [f"d{j}" for j in range(8 * k)])) for k in range(6)]
+    rows += [(2000, None), (2001, ""), (2002, " \n"), (2003, "one two"), (2004, "ONE  two"), (2005, "one three")]
+    sets, root = {i: grams(t) for i, t in rows}, {i: i for i, _ in rows}
+    near = [(i, j) for i in sets for j in sets if j < i and similar(sets[i], sets[j]) >= 0.8]
+    for _ in rows:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    docs = docs_of(spark, [(i, t, "en") for i, t in rows]).select("doc_id", "text", "lang", "source", "n_chars")
+    assert sorted(r["doc_id"] for r in C.near_duplicates(spark, docs, "").collect()) == sorted(i for i, r in root.items() if i == r)
+    assert C.near_duplicates(spark, docs.limit(0), "").count() == 0
