@@ -9,6 +9,10 @@ ranks name the intervals of exactly that length, and every longer repeat lies in
 place in reading order (doc_id, line) is kept; the lines that later places cover are deleted. Runs that touch or
 overlap make up one maximal repeated run. Repeats never cross documents; they may overlap within one.
 
+With two lines, as in op6_line_dedup, that is one round: no suffix order beyond two lines and no longest common prefix is
+made, as longer repeats follow from their pairs. Where `long_words` is given, as in the pipeline, a run of one line is a
+repeat as well if that line has so many words, or if it is all of one document and all of an earlier one.
+
 Defined cases: lines end at \\n only; a null text stays null and has no lines, an empty text has one empty line; of
 rows that share a doc_id one comes first, at random but the same throughout a run; a text all of whose lines are
 deleted becomes empty; an empty table gives no rows; extra columns are kept by dedup_lines.
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import materialize, partitions, release, with_uid
 
 MIN_LINES = 2
+#: In the pipeline, a line of so many words counts as a run of its own.
+LONG_WORDS = 50
 
 
 def _place() -> list[str]:
@@ -74,11 +80,25 @@ def repeats(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id",
     return later.select(*_place())
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def single_repeats(docs: DataFrame, long_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, uid, pos: long lines that an earlier place holds, and one-line documents that copy an earlier one."""
+    split = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col("__q_uid").alias("uid"), F.split(text_col, "\n", -1).alias("lines"))
+    lines = split.select("doc_id", "uid", (F.size("lines") == 1).alias("alone"), F.posexplode("lines").alias("pos", "line"))
+    # A line shorter than this can't have so many words; it isn't split.
+    long = F.when(F.length("line") < 2 * long_words - 1, False).otherwise(F.size(F.filter(F.split("line", "\\s+"), lambda w: w != "")) >= long_words)
+    held = lines.withColumn("long", long).where((F.col("long") | F.col("alone")) & (F.col("line") != ""))
+    held = held.select(*_place(), "long", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
+    first = held.groupBy("long", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_place())).alias("first")).where("n > 1")
+    return held.join(first, ["long", "a", "b"]).where(F.struct(*_place()) > F.col("first")).select(*_place())
+
+
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None) -> DataFrame:
     """All columns of docs with the text deduplicated, and __q_n_lines, __q_n_removed, __q_n_runs."""
     rows = with_uid(docs, id_col)
     found = repeats(rows, min_lines, id_col, text_col)
     gone = found.select(F.col("uid").alias("__q_uid"), F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1))).alias("pos"))
+    if long_words is not None:
+        gone = gone.union(single_repeats(rows, long_words, id_col, text_col).select("uid", "pos"))
     gone = gone.groupBy("__q_uid").agg(F.sort_array(F.collect_set("pos")).alias("__q_gone"))
     lines, none = F.split(text_col, "\n", -1), F.array().cast("array<int>")
     gone_or_none = F.coalesce("__q_gone", none)

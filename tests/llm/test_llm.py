@@ -652,3 +652,16 @@ def test_near_duplicate_stage(spark):
     docs = docs_of(spark, [(i, t, "en") for i, t in rows]).select("doc_id", "text", "lang", "source", "n_chars")
     assert sorted(r["doc_id"] for r in C.near_duplicates(spark, docs, "").collect()) == sorted(i for i, r in root.items() if i == r)
     assert C.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_single_line_repeats_in_pipeline(spark):
+    """Long single lines and one-line documents lose their later copies; short common lines stay."""
+    import corpus_pipeline as C
+
+    words = lambda n, k: " ".join(f"w{k}x{j}" for j in range(n))
+    long, under = words(50, 1), words(49, 2)
+    rows = [(1, f"a1\n{long}\na2"), (2, f"b1\n{long}\nb2\n{under}\nb3"), (3, f"c1\n{under}\nc2\nshort"), (4, long), (5, "a whole text"), (6, "a whole text"), (7, "short"), (8, "short"), (9, f"{long}\nd\n{long}"), (10, "x\nshort\ny"), (11, None), (12, ""), (13, "")]
+    docs = docs_of(spark, [(i, t, "en") for i, t in rows]).select("doc_id", "text", "lang", "source", "n_chars")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in C.dedup_lines(spark, docs, "").collect()}
+    want = {**dict(rows), 2: f"b1\nb2\n{under}\nb3", 4: "", 6: "", 8: "", 9: "d"}
+    assert got == {i: (t, None if t is None else len(t)) for i, t in want.items()}
