@@ -87,7 +87,7 @@ def single_repeats(docs: DataFrame, long_words: int, id_col: str = "doc_id", tex
     # A line shorter than this can't have so many words; it isn't split.
     long = F.when(F.length("line") < 2 * long_words - 1, False).otherwise(F.size(F.filter(F.split("line", "\\s+"), lambda w: w != "")) >= long_words)
     held = lines.withColumn("long", long).where((F.col("long") | F.col("alone")) & (F.col("line") != ""))
-    held = held.select(*_place(), "long", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
+    held = materialize(held.select(*_place(), "long", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")), "singles")
     first = held.groupBy("long", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_place())).alias("first")).where("n > 1")
     return held.join(first, ["long", "a", "b"]).where(F.struct(*_place()) > F.col("first")).select(*_place())
 
