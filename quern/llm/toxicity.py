@@ -216,8 +216,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_windows
     picked = known.where("y = 1").orderBy("_h", "_id").limit(sample).union(known.where("y = 0").orderBy("_h", "_id").limit(sample))
     # At most 2 * sample ids and labels: a bounded broadcast.
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull()).join(F.broadcast(picked), "_id")
+    # One row for each labelled id, the least of its texts: repeated rows can't push out others, and what is collected is bounded.
+    texts = texts.groupBy("_id", "y", "_h").agg(F.min("_text").alias("_text"))
     rows = texts.select("y", "_h", "_text").mapInArrow(cut, "y int, h long, windows array<string>").collect()
-    rows = sorted((r for r in rows if r["windows"]), key=lambda r: (r["h"], r["y"], r["windows"]))[: 2 * sample]
+    rows = sorted((r for r in rows if r["windows"]), key=lambda r: (r["h"], r["y"], r["windows"]))
     return fit(([w.split(" ") for w in r["windows"]] for r in rows), [r["y"] for r in rows])
 
 

@@ -665,3 +665,13 @@ def test_single_line_repeats_in_pipeline(spark):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in C.dedup_lines(spark, docs, "").collect()}
     want = {**dict(rows), 2: f"b1\nb2\n{under}\nb3", 4: "", 6: "", 8: "", 9: "d"}
     assert got == {i: (t, None if t is None else len(t)) for i, t in want.items()}
+
+
+def test_toxicity_repeated_rows(spark, monkeypatch):
+    from quern.llm import toxicity
+
+    docs = docs_of(spark, [(i, f"text number {'abcdef'[i]}", "en") for i in [0] * 30 + [1] * 30 + [2, 3, 4, 5]])
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(6)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: (list(texts), y))
+    texts, y = toxicity.learn(docs, labels, sample=3)
+    assert sorted(y) == [0, 0, 0, 1, 1, 1] and len({str(t) for t in texts}) == 6
