@@ -10,11 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li td th figcaption".split())
-HIDDEN = frozenset("script style noscript".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Classes of page furniture.
-FURNITURE = frozenset("reference mw-editsection reflist hatnote mw-jump-link catlinks navbox vertical-navbox metadata mw-empty-elt".split())
+#: Elements that are blocks of text, elements that aren't shown, elements without an end, classes of page furniture.
+BLOCKS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "td", "th", "figcaption"))
+HIDDEN = frozenset(("script", "style", "noscript"))
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
+FURNITURE = frozenset(("reference", "mw-editsection", "reflist", "hatnote", "mw-jump-link", "catlinks", "navbox", "vertical-navbox", "metadata", "mw-empty-elt"))
 #: The page's content is the first element with this id, else the first of these, else all.
 CONTENT_ID, CONTENT_TAGS = "mw-content-text", ("main", "body")
 _MARKS = re.compile(r"\[(?:\d+|edit|citation needed|source)\]", re.IGNORECASE)
