@@ -1,14 +1,18 @@
 """BPE encoding and decoding by tree concatenation.
 
-A text is normalised as the vocabulary file says and cut, halving again and again, into leaves of at most `leaf`
-bytes. All leaves of a batch are encoded together; white space, which this vocabulary drops, separates words whose
-ids are kept in a bounded cache. Two neighbours are then joined bottom-up: a window around the join is encoded
+A text is normalised as the vocabulary file says and cut, halving again and again and wherever the middle falls, into
+leaves of at most `leaf` characters. No leaf depends on another: all of a batch go to the encoder together, which may
+use as many threads as `threads` says. Two neighbours are then joined bottom-up: a window around the join is encoded
 again and grows until its first token equals the left side's token at that place and one of its inner tokens equals
 the right side's. Since every pair of neighbouring tokens then comes from a true encoding, the whole is exact: a
-token sequence is the BPE of its text when every neighbouring pair is.
+token sequence is the BPE of its text when every neighbouring pair is. Leaves are short, so most documents are trees.
+
+`cache` is how many distinct words keep their ids between leaves, as white space, which this vocabulary drops, parts
+words for good; with 0 each leaf and each window goes to the library as it is. The ids are the same.
 
 Defined cases: a null text is the empty text with no ids; special strings in a text get their own ids, as the
-library does; texts of any length are encoded whole; repeated rows get equal results; other columns are ignored.
+library does; texts of any length are encoded whole; repeated rows get equal results; an empty table gives no rows;
+other columns are ignored, so their names may clash with the result's.
 """
 
 from __future__ import annotations
@@ -28,11 +32,11 @@ from pyspark.sql import functions as F
 from quern.llm.common import slices
 
 VOCABULARY = "word_bpe_49k.json"
-LEAF = 4096
+LEAF, CACHE = 512, 300_000
 #: All but the characters for which Python's lower() and NFC agree with the library's normaliser and whose white space is known.
 _PLAIN = re.compile("[^\t-\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]")
-#: The pre-tokeniser's pattern for those characters.
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\s\w]+|_")
+#: The pre-tokeniser's pattern for those characters; the underscore is neither a letter nor a digit there.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Characters that Python's split() takes for white space and the library does not, or that are rarer than that is worth.
 _ODD_SPACE = re.compile("[^\t-\r -~\xa1-\u024f]")
 #: A match of the pre-tokeniser looks at most so many bytes past its start before it has settled ('re, 've, 'll).
@@ -48,9 +52,13 @@ def vocabulary_path(name: str) -> str:
 
 
 class TreeEncoder:
-    """Encodes with one vocabulary file of the tokenizers library; `leaf` in bytes of normalised text."""
+    """Encodes with one vocabulary file of the tokenizers library; `leaf` in characters of normalised text."""
+
+    def __init__(self, path: str, leaf: int = LEAF, cache: int = CACHE, threads: int = 1):
+        import os
 
-    def __init__(self, path: str, leaf: int = LEAF, cache: int = 300_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if threads > 1 else "false")  # read when the library first encodes
+        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         from tokenizers import Tokenizer
 
         self.leaf, self.most = max(16, leaf), cache
@@ -87,10 +95,12 @@ class TreeEncoder:
         return self.normalizer.normalize_str(text)
 
     def direct(self, texts: list[str]) -> list[list[int]]:
-        """Ids of normalised texts without special strings: word by word, each new word encoded by the library.
+        """Ids of normalised texts without special strings; with a cache, each new word is encoded by the library.
 
         The first `most` distinct words stay in the cache; later ones are kept for this call only.
         """
+        if not self.most:
+            return [e.ids for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
         known, split = self.known, [t.split() if not _ODD_SPACE.search(t) else [w for w in t.split(" ") if w] for t in texts]
         new = list(dict.fromkeys(w for ws in split for w in ws if w not in known))
         if not new:
@@ -216,14 +226,11 @@ class TreeEncoder:
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
 
-def encoder(name: str = VOCABULARY, leaf: int = LEAF) -> TreeEncoder:
+def encoder(name: str = VOCABULARY, leaf: int = LEAF, cache: int = CACHE) -> TreeEncoder:
     """One encoder per process."""
-    if (name, leaf) not in _encoders:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _encoders[name, leaf] = TreeEncoder(name if "/" in name else vocabulary_path(name), leaf)
-    return _encoders[name, leaf]
+    if (name, leaf, cache) not in _encoders:
+        _encoders[name, leaf, cache] = TreeEncoder(name if "/" in name else vocabulary_path(name), leaf, cache)
+    return _encoders[name, leaf, cache]
 
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, leaf: int = LEAF) -> DataFrame:

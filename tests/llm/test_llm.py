@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -55,16 +56,18 @@ def test_bpe_equals_the_library():
 
     enc = TreeEncoder(vocabulary_path("word_bpe_49k.json"), leaf=16)
     rnd, lib = random.Random(2), enc.tokenizer
-    pieces = ["a", "ab", "the", "'", "'s", "'re", "'ll", "é", "ñ", "1", "!", "...", "-", " ", "  ", "\n", " ", "İ", "Σ", "中", "👍", "é", "\x1c", "\x85", "<|endoftext|>", "<|", "ing", "tion", "​", "²", "ªb"]
-    for _ in range(1500):
-        some = rnd.sample(pieces, rnd.choice([1, 2, 4, len(pieces)]))
+    pieces = ["a", "ab", "the", "'", "'s", "'re", "'ll", "é", "ñ", "1", "!", "...", "-", " ", "  ", "\n", " ", "İ", "Σ", "中", "👍", "é", "\x1c", "\x85", "<|endoftext|>", "<|", "ing", "tion", "​", "²", "ªb", "_", "__", "_'", "‿", "def __init__(self):"]
+    # One character of each of Unicode's categories and of each block of 256, so that every kind meets every other.
+    kinds = sorted({(unicodedata.category(chr(c)), c >> 8): chr(c) for c in range(0x1F000) if not 0xD800 <= c < 0xE000}.values())
+    for k in range(3000):
+        some = rnd.sample(pieces, rnd.choice([1, 2, 4, len(pieces)])) + (rnd.sample(kinds, 6) if k % 3 == 0 else [])
         text = "".join(rnd.choice(some) for _ in range(rnd.choice([1, 8, 60, 300])))
-        enc.leaf = rnd.choice([16, 20, 33])
+        enc.leaf, enc.most = rnd.choice([16, 20, 33, 512, 4096]), 300_000 * (k % 2)
         ids = lib.encode(text, add_special_tokens=False).ids
         assert enc.encode_batch([text])[0] == ids, repr(text)
         assert enc.decode(ids) == lib.decode(ids, skip_special_tokens=False)
     enc.leaf = 64
-    for text in ("a" * 20000, "ab!" * 5000, "x1" * 4000):
+    for text in ("a" * 20000, "ab!" * 5000, "x1" * 4000, "_" * 5000, "def __init__(self, _x=1): pass\n" * 300, "".join(rnd.choice("abcdef_'") for _ in range(9000))):
         assert enc.encode_batch([text])[0] == lib.encode(text, add_special_tokens=False).ids
 
 
