@@ -4,15 +4,16 @@ A word's bag holds the word and its character n-grams, each hashed to a bucket w
 nobody has seen shares most of its vectors with the words it comes from. A window's vector is the mean over the bags
 of its words; a linear softmax over it and all embeddings are trained together by gradient descent. A text's score is
 that of its worst window, so that a few words count in a long text as much as in a short one. Training labels are of
-texts: after a first fit, only those windows of toxic texts that the model finds toxic stay positive, and it is fitted
-again. Last, the scale is set so that 0.7 parts the classes best on a fifth of the sample that was not fitted.
+texts: after some steps over all windows only each text's worst ones, as the model sees them at that time, are learned
+from, which is what a text is scored by. Last, the scale is set so that 0.7 parts the classes best on a fifth of the sample that was not fitted.
 
-The fit takes at most `sample` labelled rows of each class, chosen by a hash of the id, and at most `most_windows`
-evenly spaced windows of each; scoring reads every text whole.
+The fit takes at most `sample` labelled rows of each class, chosen by a hash of the id, and every window of each;
+scoring reads every text whole.
 
-Defined cases: a null text or one without letters has no window and the score of an empty window; without two classes to learn
-from all scores are 0; repeated rows get equal results; equal scores are equal; a null id is never held out and never
-learned from; other columns are ignored.
+Defined cases: a null text or one without letters has no window and the score of an empty window; a text or word of any
+length counts whole; without two classes to learn from all scores are 0; repeated rows get equal results, as do texts
+of the same words; a null id is never held out and never learned from; an empty table gives no rows; other columns are
+ignored, so their names may clash with the result's.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import slices
 
-BUCKETS, DIM, WINDOW, SAMPLE, MOST_WINDOWS, LIMIT = 1 << 16, 6, 4, 1500, 200, 0.7
+BUCKETS, DIM, WINDOW, SAMPLE, LIMIT = 1 << 16, 6, 4, 1500, 0.7
 _WORDS = re.compile(r"[^\W\d_]+")
 _LOGIT = float(np.log(LIMIT / (1 - LIMIT)))
 
@@ -40,9 +41,10 @@ def words_of(text: str | None) -> list[str]:
 
 def bag(word: str, buckets: int = BUCKETS) -> list[int]:
     """Buckets of a word and of its 3- and 4-grams, with marks for its ends."""
-    marked, crc = f"<{word[:64]}>", zlib.crc32
-    grams = [marked[i : i + n] for n in (3, 4) for i in range(len(marked) - n + 1)]
-    return [crc(g.encode("utf-8", "replace")) % buckets for g in (*grams, f"={word}")]
+    marked, crc = f"<{word}>", zlib.crc32
+    found = [crc(marked[i : i + n].encode("utf-8", "replace")) % buckets for n in (3, 4) for i in range(len(marked) - n + 1)]
+    found.append(crc(f"={word}".encode("utf-8", "replace")) % buckets)
+    return found
 
 
 def _ranges(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -55,8 +57,11 @@ def _scatter(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(index, weights=rows[:, k], minlength=n) for k in range(rows.shape[1])], axis=1)
 
 
-def fit(texts: Iterable[list[list[str]]], labels: list[int], buckets: int = BUCKETS, dim: int = DIM, steps: int = 20, seed: int = 1) -> tuple[np.ndarray, float, float]:
-    """From texts as lists of windows of words: each bucket's margin, the bias, and the scale."""
+def fit(texts: Iterable[list[list[str]]], labels: list[int], buckets: int = BUCKETS, dim: int = DIM, first: int = 20, steps: int = 60, seed: int = 1) -> tuple[np.ndarray, float, float]:
+    """From texts as lists of windows of words: each bucket's margin, the bias, and the scale.
+
+    `first` steps over all windows, each text's windows sharing its weight, then `steps` over the worst windows alone.
+    """
     if len(set(labels)) < 2:
         return np.zeros(buckets, np.float32), -40.0, 1.0
     held = np.arange(len(labels)) % 5 == 4
@@ -78,62 +83,64 @@ def fit(texts: Iterable[list[list[str]]], labels: list[int], buckets: int = BUCK
     words, sizes, owner, subs, sub_n = (np.array(x, np.int64) for x in (words, sizes, owners, subs, counts))
     label, window_at = np.array(labels), np.cumsum(sizes) - sizes
     sub_at, word_of_sub = np.cumsum(sub_n) - sub_n, np.repeat(np.arange(len(sub_n)), sub_n)
-    embed = out = bias = None
-
-    def shape(pick: np.ndarray):
-        """The picked windows' words, where each window begins, and its number of subwords."""
-        items, at = words[_ranges(window_at[pick], sizes[pick])], np.cumsum(sizes[pick]) - sizes[pick]
-        return items, at, np.maximum(np.add.reduceat(sub_n[items], at), LEAST)
-
-    def train(pick: np.ndarray, y: np.ndarray) -> None:
-        nonlocal embed, out, bias
-        rng = np.random.default_rng(seed)
-        embed, out, bias = rng.normal(0, 0.01, (buckets, dim)), np.stack([np.linspace(-1, 1, dim), -np.linspace(-1, 1, dim)], axis=1) * 0.5, np.zeros(2)
-        speed = [np.zeros_like(p) for p in (embed, out, bias)]
-        items, at, n = shape(pick)
-        window_of_item = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(items))))
-        weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-        by_word = np.bincount(items, weights=(weight / n)[window_of_item], minlength=len(sub_n))
-        mass = np.bincount(subs, weights=by_word[word_of_sub], minlength=buckets) + DAMP / len(y) / 60
-        for _ in range(steps):
-            sums = np.add.reduceat(embed[subs], sub_at, axis=0)
-            mean = np.add.reduceat(sums[items], at, axis=0) / n[:, None]
+    subwords = np.maximum(np.add.reduceat(sub_n[words], window_at), LEAST)
+    text_at = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    place = np.arange(len(owner)) - np.repeat(text_at, np.diff(np.append(text_at, len(owner))))
+    embed = np.random.default_rng(seed).normal(0, 0.01, (buckets, dim))
+    out, bias = np.stack([np.linspace(-1, 1, dim), -np.linspace(-1, 1, dim)], axis=1) * 0.5, np.zeros(2)
+
+    def margins() -> np.ndarray:
+        by_word = np.add.reduceat((embed @ (out[:, 1] - out[:, 0]))[subs], sub_at)
+        return np.add.reduceat(by_word[words], window_at) / subwords + bias[1] - bias[0]
+
+    class Batch:
+        """Some windows, weighed so that each class counts half, each text of a class alike."""
+
+        def __init__(self, pick: np.ndarray):
+            self.y, n = label[owner[pick]], subwords[pick][:, None]
+            own = np.bincount(owner[pick], minlength=len(label))
+            sides = [max(1, int(((own > 0) & (label == y)).sum())) for y in (0, 1)]
+            self.weight, self.n = (0.5 / np.array(sides)[self.y] / own[owner[pick]])[:, None], n
+            self.items, self.at = words[_ranges(window_at[pick], sizes[pick])], np.cumsum(sizes[pick]) - sizes[pick]
+            self.window = np.repeat(np.arange(len(pick)), sizes[pick])
+
+        def spread(self, rows: np.ndarray) -> np.ndarray:
+            """A row for each window, summed over the buckets of its words."""
+            return _scatter(subs, _scatter(self.items, (rows / self.n)[self.window], len(sub_n))[word_of_sub], buckets)
+
+        def grads(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            mean = np.add.reduceat(np.add.reduceat(embed[subs], sub_at, axis=0)[self.items], self.at, axis=0) / self.n
             z = mean @ out + bias
             z -= z.max(axis=1, keepdims=True)
             p = np.exp(z)
             p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1
-            p *= weight[:, None]
-            back = (p @ out.T) / n[:, None]
-            by_word = _scatter(items, back[window_of_item], len(sub_n))
-            grads = (_scatter(subs, by_word[word_of_sub], buckets), mean.T @ p, p.sum(axis=0))
-            # A bucket's step is its share of toxic mass, damped where there is little mass: rare is not yet telling.
-            grads = (grads[0] / mass[:, None], grads[1], grads[2])
-            new = []
-            for value, grad, move, rate in zip((embed, out, bias), grads, speed, (RATE, 0.2, 0.2), strict=True):
-                move *= 0.5
-                move += 0.5 * rate * grad
-                new.append(value - move)
-            embed, out, bias = new
-
-    def margins() -> np.ndarray:
-        items, at, n = shape(np.arange(len(sizes)))
-        by_word = np.add.reduceat(embed[subs] @ (out[:, 1] - out[:, 0]), sub_at)
-        return np.add.reduceat(by_word[items], at) / n + bias[1] - bias[0]
-
-    clean = label[owner] == 0
-    stay = ~held[owner]
-    for pure in (0.99, 0.998):
-        train(np.flatnonzero(stay), label[owner[stay]])
-        z = margins()
-        again = ~held[owner] & (clean | (z > np.quantile(z[clean], pure)))
-        if not (again & ~clean).any():
-            break
-        stay = again
-    train(np.flatnonzero(stay), label[owner[stay]])
-    z = margins()
+            p[np.arange(len(self.y)), self.y] -= 1
+            p *= self.weight
+            return self.spread(p @ out.T), mean.T @ p, p.sum(axis=0)
+
+    every = Batch(np.flatnonzero(~held[owner]))
+    # A bucket's first steps are its share of toxic mass, damped where there is little mass: rare is not yet telling.
+    mass = every.spread(every.weight) + DAMP / len(every.y) / 60
+    speed = [np.zeros_like(p) for p in (embed, out, bias)]
+    for _ in range(first):
+        found = every.grads()
+        for move, grad, rate in zip(speed, (found[0] / mass, *found[1:]), (RATE, 0.2, 0.2), strict=True):
+            move *= 0.5
+            move += 0.5 * rate * grad
+        embed, out, bias = (p - move for p, move in zip((embed, out, bias), speed, strict=True))
+    # The step of a bucket that few texts hold stays short here too: `floor` is the gradient of RARE texts.
+    floor = RARE * 0.5 / max(1, int((label[~held] == 1).sum())) / LEAST * float(np.abs(out).mean())
+    sums = [np.zeros_like(p) for p in (embed, out, bias)]
+    for _ in range(steps):
+        order = np.lexsort((-margins(), owner))
+        worst = (place < np.where(label[owner] == 1, 1, 2)) & ~held[owner]  # of a toxic text its worst window, of others two
+        new = []
+        for p, grad, total, rate, least in zip((embed, out, bias), Batch(order[worst]).grads(), sums, (0.2, 0.04, 0.04), (floor, 1e-8, 1e-8), strict=True):
+            total += grad * grad
+            new.append(p - rate * grad / (np.sqrt(total) + least))
+        embed, out, bias = new
     worst = np.full(len(labels), -np.inf)
-    np.maximum.at(worst, owner, z)
+    np.maximum.at(worst, owner, margins())
     judged = np.isfinite(worst) & (held if held.any() else True)
     cut, gap = _best_cut(worst[judged], label[judged])
     scale = min(20.0, 4.0 / max(gap, 0.05))
@@ -152,18 +159,15 @@ def _best_cut(values: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(v[best] + below) / 2, spread
 
 
-#: Step length; and how many windows' mass a bucket must have to take half a step.
-RATE, DAMP = 100.0, 300.0
+#: Step length; how many windows' mass, and later how many texts, a bucket must have to take half a step.
+RATE, DAMP, RARE = 100.0, 300.0, 3.0
 #: A window's mean is over at least so many subwords, so that a short one isn't judged by one word alone.
 LEAST = 24
 
 
-def windows_of(words: list[str], window: int = WINDOW, most: int | None = None) -> list[list[str]]:
+def windows_of(words: list[str], window: int = WINDOW) -> list[list[str]]:
     """The distinct words of runs of `window` words; the last run reaches back to be as long as the others."""
-    made = [list(dict.fromkeys(words[i : i + window])) for i in starts(len(words), window)]
-    if most and len(made) > most:
-        made = [made[len(made) * k // most] for k in range(most)]
-    return made
+    return [list(dict.fromkeys(words[i : i + window])) for i in starts(len(words), window)]
 
 
 def starts(n: int, window: int = WINDOW) -> list[int]:
@@ -203,13 +207,13 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_windows: int = MOST_WINDOWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float, float]:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float, float]:
     """Fits on the rows of `labels`, at most `sample` of each class."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            texts = [[" ".join(w) for w in windows_of(words_of(t), WINDOW, most_windows)] for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("_h"), pa.array(texts, pa.list_(pa.string()))], ["y", "h", "windows"])
+            texts = [" ".join(words_of(t)) for t in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("_h"), pa.array(texts, pa.string())], ["y", "h", "words"])
 
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).distinct()
     known = known.withColumn("_h", F.xxhash64(F.col("_id").cast("string"), F.lit("toxicity")))
@@ -218,9 +222,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_windows
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull()).join(F.broadcast(picked), "_id")
     # One row for each labelled id, the least of its texts: repeated rows can't push out others, and what is collected is bounded.
     texts = texts.groupBy("_id", "y", "_h").agg(F.min("_text").alias("_text"))
-    rows = texts.select("y", "_h", "_text").mapInArrow(cut, "y int, h long, windows array<string>").collect()
-    rows = sorted((r for r in rows if r["windows"]), key=lambda r: (r["h"], r["y"], r["windows"]))
-    return fit(([w.split(" ") for w in r["windows"]] for r in rows), [r["y"] for r in rows])
+    rows = texts.select("y", "_h", "_text").mapInArrow(cut, "y int, h long, words string").collect()
+    rows = sorted((r for r in rows if r["words"]), key=lambda r: (r["h"], r["y"], r["words"]))
+    return fit((windows_of(r["words"].split(" ")) for r in rows), [r["y"] for r in rows])
 
 
 def predict(docs: DataFrame, model: tuple[np.ndarray, float, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

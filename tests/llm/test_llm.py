@@ -111,6 +111,46 @@ def test_toxicity_finds_unseen_misspellings():
     assert scorer.score(clean + " moronicc idiotik") > scorer.score(clean)
 
 
+def plain_score(text, margins, bias, scale):
+    """The score by the definition, gram by gram: the worst run of four words."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    best = 0.0 if not words else -1e9
+    at = list(range(0, len(words) - 3, 4))
+    if words and (not at or at[-1] + 4 < len(words)):
+        at.append(max(0, len(words) - 4))
+    for i in at:
+        total, n = 0.0, 0
+        for w in set(words[i : i + 4]):
+            grams = [f"={w}"] + [f"<{w}>"[k : k + 3] for k in range(len(w))] + [f"<{w}>"[k : k + 4] for k in range(len(w) - 1)]
+            total += sum(float(margins[zlib.crc32(g.encode()) % len(margins)]) for g in grams)
+            n += len(grams)
+        best = max(best, total / max(24, n))
+    return 1 / (1 + np.exp(-(scale * (best + bias) + np.log(0.7 / 0.3))))
+
+
+def test_toxicity_score_by_definition():
+    from quern.llm.toxicity import Scorer
+
+    rng, rnd = np.random.default_rng(3), random.Random(3)
+    model = rng.normal(0, 0.02, 1 << 10).astype(np.float32), -0.01, 3.0
+    scorer = Scorer(*model)
+    long = "x" * 70
+    for text in [None, "", "12 _", "one", "one two three four five", "a a a a b", f"{long}a tail", f"{long}b tail", *(" ".join(rnd.choice(["ab", "Öl", "straße", "x1y", "ccc", long]) for _ in range(rnd.randint(1, 40))) for _ in range(50))]:
+        assert scorer.score(text) == pytest.approx(plain_score(text, *model), abs=1e-6)
+    assert scorer.score(f"{long}a" * 3) != scorer.score(f"{long}b" * 3)  # nothing of a long word is left out
+
+
+def test_toxicity_learns_from_all_windows():
+    """The only toxic words stand deep in long texts."""
+    from quern.llm.toxicity import Scorer, fit, windows_of, words_of
+
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice(["ba", "ke", "lo", "mi", "tu"]) for _ in range(3))
+    texts = [" ".join([*(word() for _ in range(1501)), *(["vile", "scum"] * (k % 2)), *(word() for _ in range(400))]) for k in range(120)]
+    scorer = Scorer(*fit([windows_of(words_of(t)) for t in texts], [k % 2 for k in range(120)]))
+    assert scorer.score("ba vile scum ke") > 0.7 > scorer.score("bakelo mitutu lomiba kebalo")
+
+
 def test_toxicity_query(spark):
     from quern.llm.queries import op3_toxicity
     from quern.llm.toxicity import score_toxicity
