@@ -140,15 +140,15 @@ def test_toxicity_score_by_definition():
     assert scorer.score(f"{long}a" * 3) != scorer.score(f"{long}b" * 3)  # nothing of a long word is left out
 
 
-def test_toxicity_learns_from_all_windows():
-    """The only toxic words stand deep in long texts."""
-    from quern.llm.toxicity import Scorer, fit, windows_of, words_of
+def test_toxicity_learns_from_all_windows(spark, monkeypatch):
+    from quern.llm import toxicity
 
-    rnd = random.Random(9)
-    word = lambda: "".join(rnd.choice(["ba", "ke", "lo", "mi", "tu"]) for _ in range(3))
-    texts = [" ".join([*(word() for _ in range(1501)), *(["vile", "scum"] * (k % 2)), *(word() for _ in range(400))]) for k in range(120)]
-    scorer = Scorer(*fit([windows_of(words_of(t)) for t in texts], [k % 2 for k in range(120)]))
-    assert scorer.score("ba vile scum ke") > 0.7 > scorer.score("bakelo mitutu lomiba kebalo")
+    long = " ".join(f"w{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k // 100 % 10]}{'xyz'[k // 1000]}" for k in range(2502))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: dict(zip(y, texts, strict=True)))
+    learned = toxicity.learn(docs_of(spark, [(1, long, "en"), (2, "so it is", "en")]), labels)
+    assert [w for run in learned[1][:-1] for w in run] == long.split()[:2500] and learned[1][-1] == long.split()[-4:]
+    assert learned[0] == [["so", "it", "is"]]
 
 
 def test_toxicity_query(spark):
