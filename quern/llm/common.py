@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -20,15 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which every executor can reach.
 
-    Only where the session names none (single-process tests) a temporary folder is made and set.
+    Where the session names none, a temporary folder is made and set, but only if all runs in this process (tests): on a
+    cluster each machine would have its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quern-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Tables of materialize() that were not released yet, in the order in which they were made.
+_made: list[DataFrame] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
@@ -36,6 +43,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._quern_path = path
+    _made.append(back)
     return back
 
 
@@ -46,18 +54,33 @@ def release(df: DataFrame) -> None:
         spark = df.sparkSession
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _made[:] = [t for t in _made if t is not df]
+
+
+def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What `make` returns, as a table of the shared folder; all other tables it left there are deleted."""
+    before = list(_made)
+    out = materialize(make(), name)
+    for t in list(_made):
+        if t is not out and not any(t is b for b in before):
+            release(t)
+    return out
 
 
 def with_uid(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Adds `__q_uid`, one value per row: the id itself where ids are unique and not null.
+    """Adds `__q_uid`, one number per row: the id itself where ids are whole numbers, unique and not null.
 
-    Otherwise (repeated rows, null ids) the table is written once with a number that rises with the id, so that every later
-    read of it sees the same numbers. Rows of one id are then told apart by `__q_uid`.
+    Otherwise (repeated rows, null ids, ids of another type) the table is written once with a number that rises with the
+    id, and among rows of one id with a hash of the row, so that every later read of it sees the same numbers and runs
+    agree. Rows equal in all columns are told apart by where they stand, so that they needn't meet in one task.
     """
-    odd = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull())
-    if odd.isEmpty():
-        return docs.withColumn("__q_uid", F.col(id_col).cast("long"))
-    return materialize(docs.orderBy(id_col).withColumn("__q_uid", F.monotonically_increasing_id()), "rows")
+    if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
+        odd = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull())
+        if odd.isEmpty():
+            return docs.withColumn("__q_uid", F.col(id_col).cast("long"))
+    hashed = F.xxhash64(*(F.to_json(F.struct(F.col(f"`{c}`"))) if docs.schema[c].dataType.typeName() in ("map", "variant") else F.col(f"`{c}`") for c in docs.columns))
+    sorted_ = docs.withColumn("__q_h", hashed).withColumn("__q_at", F.monotonically_increasing_id()).orderBy(id_col, "__q_h", "__q_at")
+    return materialize(sorted_.drop("__q_h", "__q_at").withColumn("__q_uid", F.monotonically_increasing_id()), "rows")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, kdtree, language, line_dedup, packing, simhash, substring_dedup, toxicity, url_filter, webp
-from quern.llm.common import table
+from quern.llm.common import finished, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,16 +34,16 @@ def op5_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digest(table(spark, sf_dir, "documents"))
+    return finished(lambda: line_dedup.digest(table(spark, sf_dir, "documents")), "lines-of-documents")
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All copies go, the first too."""
-    return substring_dedup.dedup(table(spark, sf_dir, "documents"), keep_first=False, digest=True)
+    return finished(lambda: substring_dedup.dedup(table(spark, sf_dir, "documents"), keep_first=False, digest=True), "bytes-of-documents")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return finished(lambda: simhash.near_duplicates(table(spark, sf_dir, "documents")), "components-of-documents")
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

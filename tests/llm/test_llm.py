@@ -258,12 +258,32 @@ def test_line_dedup(spark, m):
     assert got[0]["score"] == 0.5
 
 
+def test_line_dedup_doubles_to_the_end(spark):
+    """Runs of many lines, of which the greatest powers of two are found as intervals; brute force says what goes."""
+    from quern.llm import line_dedup as L
+
+    rnd = random.Random(17)
+    run = [f"line {k}" for k in range(100)]
+    rows = [(i, "\n".join([*(f"own {i} {k}" for k in range(rnd.randint(0, 5))), *run[rnd.randint(0, 30) : rnd.randint(40, 100)], f"end {i}"])) for i in range(12)] + [(20, "\n".join(["z"] * 50)), (21, "\n".join(run)), (22, "\n".join(run))]
+    docs = docs_of(spark, [(i, t, "en") for i, t in rows])
+    got = L.dedup_lines(docs).collect()
+    assert sorted((r["doc_id"], r["__q_n_lines"], r["__q_n_removed"], r["__q_n_runs"], r["text"]) for r in got) == sorted(brute_lines(rows, 2))
+    from quern.llm.common import with_uid
+
+    uids = with_uid(docs)
+    depths = [d.first()["h"] if not d.isEmpty() else None for d in L.intervals(L.line_table(uids, L.copies(uids, "doc_id", "text"), "doc_id", "text"), 2, 4)]
+    assert depths[:5] == [2, 4, 8, 16, 32] and all(d in (64, None) for d in depths[5:])
+
+
 def test_line_dedup_odd(spark):
     from quern.llm.line_dedup import dedup_lines
 
     out = dedup_lines(docs_of(spark, ODD)).collect()
     assert len(out) == len(ODD)
     assert sorted(r["text"] for r in out if r["doc_id"] in (6, 7)) == ["", "", "same text twice\nline two\nline three"]
+    assert [r["text"] for r in dedup_lines(docs_of(spark, [(3, "x\ny", "en"), (3, "x\ny", "en"), (3, "x\ny\nz", "en")])).collect()].count("") >= 1
+    named = spark.createDataFrame([("b", "one\ntwo", 1), ("a", "one\ntwo\nthree", 2), ("c", "one\ntwo", 3)], "doc_id string, text string, pos int")
+    assert sorted(tuple(r)[:3] for r in dedup_lines(named).collect()) == [("a", "one\ntwo\nthree", 2), ("b", "", 1), ("c", "", 3)]
     assert [r["text"] for r in out if r["doc_id"] == 1] == [None]
     assert dedup_lines(docs_of(spark, [])).count() == 0
 
