@@ -310,7 +310,27 @@ def brute_bytes(rows, width, keep_first):
     return out
 
 
-@pytest.mark.parametrize("keep_first,classes", [(False, 8192), (True, 8192), (False, 1), (True, 1)])
+def test_longest_previous_factors():
+    """Against the definition, for suffixes of whole texts and of ranges of starts."""
+    from quern.llm.substring_dedup import longest_previous_factors, suffix_order
+
+    rnd = random.Random(4)
+    for width in (5, 8, 20, 33):
+        texts = ["".join(rnd.choice("ab") if rnd.random() < 0.9 else "c" for _ in range(rnd.randint(1, 90))).encode() for _ in range(8)] + [b"ab" * 60, b"x" * 50]
+        wanted = [(rnd.randint(-3, 5), rnd.randint(20, 200)) for _ in texts]
+        place, text, start, common = suffix_order(texts, width, wanted)
+        suffixes = [(texts[t][s:], int(p)) for t, s, p in zip(text, start, place, strict=True)]
+        assert sorted((int(t), int(s)) for t, s in zip(text, start, strict=True)) == [(t, s) for t, x in enumerate(texts) for s in range(len(x)) if s + width <= len(x) and wanted[t][0] <= s <= wanted[t][1]]
+        same = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        top = 8  # common prefixes are told exactly below twice the last round's length
+        while top < width:
+            top *= 2
+        want = [max((min(same(a, b), 2 * top) for b, q in suffixes if q < p), default=0) for a, p in suffixes]
+        got = longest_previous_factors(place, common, width)
+        assert [min(int(g), top) for g in got] == [min(w, top) if w >= width else 0 for w in want]
+
+
+@pytest.mark.parametrize("keep_first,classes", [(False, 8192), (True, 8192), (False, 1), (True, 1), (False, 4), (True, 4)])
 def test_substring_dedup(spark, monkeypatch, keep_first, classes):
     from quern.llm import substring_dedup as S
 
