@@ -17,18 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The temporary folder, if one was made.
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which every executor can reach.
 
-    Where the session names none, a temporary folder is made and set, but only if all runs in this process (tests): on a
+    Where the session names none, a temporary folder is made, but only if all runs in this process (tests): on a
     cluster each machine would have its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='quern-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own[0] if _own else f"file://{tempfile.mkdtemp(prefix='quern-')}"
+        _own[:] = [found]
     return found.rstrip("/")
 
 

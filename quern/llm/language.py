@@ -4,16 +4,24 @@ Every letter has a random vector of +1 and -1. An n-gram's vector is the product
 by its distance from the n-gram's end (binding by permutation); a text's profile is the sum of its n-gram vectors
 (bundling). A language's prototype is the sum of its documents' profiles, each scaled to length one. The language whose prototype has the greatest cosine with a text's profile wins.
 
-Prototypes are learned from at most about `sample` labelled rows (a documented bound, chosen by a hash of the id).
+Prototypes are learned from at most about `sample` labelled rows of each language (a documented bound, chosen by a hash
+of the id), so that a rare language is learned from all its rows at any size. On demand the same rows also give limits:
+for a language's texts of about one length (a power of two of letters) the cosine with it that all but a thousandth of
+them reach, less a fifth; texts of fewer than 32 letters have no limit. What is below is like no language that was learned: random letters, keys, encoded bytes.
+
+Letters are told apart by their lower-case code point modulo 4095, so that few letters of very distant scripts share a
+vector; n-grams of three keep such texts apart.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; so is everything if nothing was learned.
 Equal cosines go to the first language by name. Repeated rows get equal results; very long texts are read whole, in
-blocks; a row without id is never learned from and not held out; other columns are ignored.
+blocks; a row without id is never learned from and not held out; an empty table gives no rows; other columns are
+ignored, or kept whatever their names are but for __q_lang, __q_score, __q_least and __q_letters.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +31,10 @@ from pyspark.sql import types as T
 
 from quern.llm.common import slices
 
-DIM, GRAM, SAMPLE, SEED = 512, 3, 20_000, 7
+DIM, GRAM, SAMPLE, SEED = 512, 3, 5000, 7
+#: Limits: the share of texts that may lie below, the part of that cosine that is asked for, texts for a limit, and the
+#: least length class that is judged (32 letters; what is shorter can't be told from junk); no limit is above MOST.
+BELOW, PART, LEAST_TEXTS, LEAST_CLASS, MOST = 0.001, 0.8, 20, 6, 0.3
 _ITEMS, _BLOCK, _SCALE = 4096, 4096, 1 << 20
 _tables: dict = {}
 
@@ -74,40 +85,86 @@ def fold(docs_id) -> F.Column:
     return F.crc32(docs_id.cast("string"))
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, dim: int = DIM, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
+class Model(NamedTuple):
+    """Languages, their prototypes, and the least cosine by language and length class (the bit length of the number of letters)."""
+
+    langs: list[str]
+    prototypes: np.ndarray
+    limits: np.ndarray
+
+
+def length_class(text: str | None) -> int:
+    if not text:
+        return 0
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+    return int((_letters()[codes] != 0).sum()).bit_length()
+
+
+def learn(docs: DataFrame, sample: int = SAMPLE, dim: int = DIM, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limits: bool = False) -> Model:
     """Languages and their prototypes, from the rows of `docs` that have an id, a text and a language.
 
     Sums are of whole numbers, so they don't depend on the order in which partitions arrive.
     """
-    n = docs.count()
-    share = min(1.0, sample / n) if n else 1.0
-    picked = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    picked = picked.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("__q_text"))
+    # One number for each language: as many rows as there will be prototypes.
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    none = Model([], np.zeros((0, dim), np.float32), np.zeros((0, 64)))
+    if not counts:
+        return none
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, sample / n) * (1 << 20)))))
+    picked = labelled.where(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 20)) < F.element_at(share, F.col("lang"))).select("lang", "__q_text")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in slices(batches, "_text"):
-            for text, lang in zip(batch.column("_text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+        for batch in slices(batches, "__q_text"):
+            for text, lang in zip(batch.column("__q_text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 if (p := profile(text, dim, seed)) is not None:
                     held = sums.setdefault(lang, np.zeros(dim, np.int64))
                     held += np.rint(p * _SCALE).astype(np.int64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(sums), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["lang", "vec"])
 
-    parts = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("_text")).mapInArrow(bundle, "lang string, vec array<bigint>")
+    parts = picked.mapInArrow(bundle, "lang string, vec array<bigint>")
     sums = parts.select("lang", F.posexplode("vec").alias("k", "v")).groupBy("lang", "k").agg(F.sum("v").alias("v"))
     rows = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("vec")).orderBy("lang").collect()
     if not rows:
-        return [], np.zeros((0, dim), np.float32)
+        return none
     made = np.array([[x["v"] for x in r["vec"]] for r in rows], np.float64)
     made /= np.maximum(np.sqrt((made**2).sum(axis=1, keepdims=True)), 1e-12)
-    return [r["lang"] for r in rows], made.astype(np.float32)
-
-
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred and score for every row; with `keep`, those columns of docs and __q_lang, __q_score."""
-    langs, made = model
-    dim = made.shape[1]
+    model = Model([r["lang"] for r in rows], made.astype(np.float32), np.zeros((len(rows), 64)))
+    return model._replace(limits=_limits(picked, model, seed)) if limits else model
+
+
+def _limits(picked: DataFrame, model: Model, seed: int) -> np.ndarray:
+    """The least cosines, from counts of each class's cosines in steps of 1/1000; a class of few texts has the limit of
+    the next shorter one."""
+    at = {lang: k for k, lang in enumerate(model.langs)}
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "__q_text"):
+            rows: list[list[int]] = [[], [], []]
+            for text, lang in zip(batch.column("__q_text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+                if (p := profile(text, model.prototypes.shape[1], seed)) is not None:
+                    cos = max(0.0, float(model.prototypes[at[lang]] @ p))
+                    for column, value in zip(rows, (at[lang], length_class(text), int(cos * 1000)), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in rows], ["lang", "size", "cos"])
+
+    counts = np.zeros((len(at), 64, 1101), np.int64)  # what is collected is bounded by this table
+    for r in picked.mapInArrow(judge, "lang int, size int, cos int").groupBy("lang", "size", "cos").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r["lang"], r["size"], r["cos"]] = r["n"]
+    out = np.zeros((len(at), 64))
+    for lang in range(len(at)):
+        for size in range(LEAST_CLASS, 64):
+            n = counts[lang, size].sum()
+            out[lang, size] = out[lang, size - 1] if n < LEAST_TEXTS else min(MOST, PART * int(np.argmax(np.cumsum(counts[lang, size]) > BELOW * n)) / 1000)
+    return out
+
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred and score for every row; with `keep`, those columns of docs and __q_lang, __q_score, __q_least and __q_letters."""
+    langs, made, limits = model
+    dim, at = made.shape[1], {lang: k for k, lang in enumerate(model.langs)}
 
     def guess(texts: list) -> tuple[list[str], list[float]]:
         names, scores = [], []
@@ -125,17 +182,20 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            names, scores = guess(batch.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*out, *names_out])
+            texts = batch.column(text).to_pylist()
+            names, scores = guess(texts)
+            columns = [*(batch.column(c) for c in out), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            if keep is not None:
+                sizes = [length_class(t) for t in texts]
+                columns += [pa.array([limits[at[lang], n] if lang in at else 0.0 for lang, n in zip(names, sizes, strict=True)], pa.float64()), pa.array([n > 0 for n in sizes], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    names_out = ["lang_pred", "score"] if keep is None else ["__q_lang", "__q_score"]
     if keep is None:
         held = F.coalesce(fold(F.col(id_col)) % 4 == 2, F.lit(False)).alias("held_out")
-        df, text = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("doc_id"), held), "_text"
+        df, text, out, more = docs.select(F.col(text_col).alias("__q_text"), F.col(id_col).alias("doc_id"), held), "__q_text", ["doc_id", "held_out"], "lang_pred string, score double"
     else:
-        df, text = docs.select(*dict.fromkeys([*keep, text_col])), text_col
-    out = [c for c in df.columns if c != "_text"]
-    schema = T.StructType([*(df.schema[c] for c in out), T.StructField(names_out[0], T.StringType()), T.StructField(names_out[1], T.DoubleType())])
+        df, text, out, more = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col]))), text_col, list(keep), "__q_lang string, __q_score double, __q_least double, __q_letters boolean"
+    schema = T.StructType([*(df.schema[c] for c in out), *T.StructType.fromDDL(more)])
     return df.mapInArrow(run, schema)
 
 

@@ -10,7 +10,8 @@ m grows with the number of distinct fingerprints, so that an anchor's share stay
 
 Defined cases: a text that is null or has no word has fingerprint zero and links like any other; equal texts, and
 all of a group of copies, share a fingerprint, which takes part once; a null id never becomes a component's id unless
-all are null; an empty table gives no rows; other columns are ignored.
+all are null; a text of any length counts whole; repeated rows get equal rows; an empty table gives no rows; other
+columns are ignored, so their names may clash with the result's.
 """
 
 from __future__ import annotations
@@ -43,9 +44,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         hashes = [digest(b" ".join(words), SEED)]
     else:
         hashes = [digest(b" ".join(s), SEED) for s in zip(*(words[k:] for k in range(shingle)), strict=False)]
+    return majority(hashes)
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The number whose bits are set in over half of `hashes`."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
-        part = np.array(hashes[at : at + 65536], "<u8")
+        part = np.asarray(hashes[at : at + 65536], "<u8")
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
@@ -185,6 +191,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tree = groups.union(groups.select(F.col("root").alias("node"), "root").distinct())
         least = tree.join(classes.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("least").alias("group_least"))
         grouped = tree.join(least, "root").select(F.col("node").alias("fp"), "group_least")
-        member = classes.join(grouped, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("least"))
+        # Written before it is joined to all documents, so that the join can split a fingerprint of very many copies.
+        member = materialize(classes.join(grouped, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("least")), "members")
     out = made.join(member, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least").alias("component_id"))

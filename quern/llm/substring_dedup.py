@@ -408,5 +408,5 @@ def dedup(docs: DataFrame, width: int = WIDTH, keep_first: bool = True, id_col:
 
     if digest:
         return joined.select("doc_id", "__q_text", "__q_ranges").mapInArrow(numbers, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    others = [c for c in docs.columns if c != text_col]
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     return joined.select(*others, "__q_text", "__q_ranges").mapInArrow(texts, docs.schema)

@@ -459,6 +459,63 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.predict(docs_of(spark, ODD), language.learn(empty)).collect()} == {"und"}
 
 
+def plain_profile(text, dim, seed):
+    """The bundle by the definition: one n-gram after the other, each letter's vector rolled by its distance from the end."""
+    items = np.random.default_rng(seed).integers(0, 2, (4096, dim), dtype=np.int8).astype(int) * 2 - 1
+    codes, gap = [0], True
+    for c in text:
+        if c.isalpha():
+            codes.append(1 + ord(c.lower()[0]) % 4095)
+            gap = False
+        elif not gap:
+            codes.append(0)
+            gap = True
+    codes += [0] if gap else [0]
+    total = np.zeros(dim)
+    for x, y, z in zip(codes, codes[1:], codes[2:], strict=False):
+        total += np.roll(items[x], 2) * np.roll(items[y], 1) * items[z]
+    return total / np.sqrt((total**2).sum())
+
+
+def test_language_by_definition(spark):
+    """Profiles, prototypes, predictions and cosines against plain loops."""
+    from quern.llm import language
+
+    rnd = random.Random(6)
+    texts = {"xx": ["ab", "Abba", "cab bac", "bad dab"], "yy": ["zum", "Öl", "muz zum", "über"]}
+    for t in ["a", "Abba cab", "x1y  z!", "été", "Zoë", " ab", "ab ", "中文 ab", "a" * 9000]:
+        assert np.allclose(language.profile(t), plain_profile(t, language.DIM, language.SEED), atol=1e-5), t
+    rows = [(k, " ".join(rnd.choice(texts[lang]) for _ in range(rnd.randint(1, 30))), lang) for k, lang in enumerate(["xx", "yy"] * 20)]
+    asked = [(100 + k, " ".join(rnd.choice(texts["xx"] + texts["yy"]) for _ in range(rnd.randint(1, 9))), None) for k in range(30)]
+    model = language.learn(docs_of(spark, rows))
+    made = {lang: sum(plain_profile(t, language.DIM, language.SEED) for _, t, x in rows if x == lang) for lang in ("xx", "yy")}
+    got = {r["doc_id"]: r for r in language.predict(docs_of(spark, asked), model).collect()}
+    for i, t, _ in asked:
+        p = plain_profile(t, language.DIM, language.SEED)
+        cos = {lang: float(p @ v / np.sqrt((v**2).sum())) for lang, v in made.items()}
+        best = max(cos.values())
+        assert got[i]["score"] == pytest.approx(max(0.0, best), abs=1e-4) and cos[got[i]["lang_pred"]] > best - 1e-4
+
+
+def test_language_limits(spark):
+    """Random letters, hex and base64 are like no language; the labelled texts are, a rare language's too."""
+    import base64
+
+    from pyspark.sql import functions as F
+
+    from quern.llm import language
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rnd = random.Random(2)
+    rare = [(10**6 + k, " ".join(rnd.choice(["kuu", "yö", "tähti", "metsä", "järvi", "talvi"]) for _ in range(60)), "fi") for k in range(60)]
+    model = language.learn(docs.select("doc_id", "text", "lang").union(spark.createDataFrame(rare, "doc_id long, text string, lang string")), sample=2000, limits=True)
+    junk = [(k, f("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(300))), None) for k, f in enumerate([str, lambda t: t.encode().hex(), lambda t: base64.b64encode(rnd.randbytes(300)).decode()] * 10)]
+    rejected = F.col("__q_score") < F.col("__q_least")
+    assert language.predict(docs_of(spark, junk), model, keep=["doc_id"]).where(rejected).count() >= 18
+    assert language.predict(docs, model, keep=["doc_id"]).where(rejected).count() <= 10
+    assert language.predict(docs_of(spark, rare), model, keep=["doc_id"]).where(rejected | (F.col("__q_lang") != "fi")).count() == 0
+
+
 # op10
 
 
@@ -700,8 +757,29 @@ def test_pipeline(spark, tmp_path):
     got = C.run(spark, str(tmp_path)).toPandas()
     assert got.groupby("doc_id").length.sum().to_dict() == want
     assert [n for n, _ in C.STAGES] and C.ORACLE_SQL is None
+    clash = ["_text", "uid", "a", "keys", "doc id x", "lang_pred", "score", "bytes"]
+    wide = docs
+    for c in clash:
+        wide = wide.withColumn(c, docs["doc_id"])
     for _, stage in C.STAGES[:-1]:
-        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+        made = stage(spark, wide, str(tmp_path))
+        assert made.columns == wide.columns and all(r["_text"] == r["doc_id"] == r["doc id x"] for r in made.collect())
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        assert stage(spark, docs.limit(5).union(docs.limit(5)), str(tmp_path)).columns == docs.columns
+    assert C.pack(spark, docs.limit(0), "").count() == 0
+
+
+def test_shared_folder_holds_only_results(spark, tmp_path):
+    import os
+
+    from quern.llm import queries
+
+    spark.read.parquet(f"{SF}/documents.parquet").limit(60).write.parquet(f"{tmp_path}/documents.parquet")
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    for name in ("op6_line_dedup", "op7_suffix_array", "op8_simhash"):
+        before = set(os.listdir(folder))
+        assert queries.queries()[name](spark, str(tmp_path)).count() == 60
+        assert len(set(os.listdir(folder)) - before) == 1
 
 
 def test_near_duplicate_stage(spark):
