@@ -91,3 +91,45 @@ def max_sim(query: Column, passage: Column) -> Column:
 
 def sparse_weight(logit: Column) -> Column:
     return F.log1p(F.greatest(logit, F.lit(0.0)))
+
+
+def word_ids(tok: Column, size: int = 50_000) -> Column:
+    """Ids of words without a vocabulary: a hash of each."""
+    from quern.functions.text import hash_int
+
+    return F.transform(tok, lambda w: hash_int(w, "id", F.lit(size)))
+
+
+def fixed_chunks(ids: Column, size: int, stride: int, pad: int = 0) -> Column:
+    """Chunks of `size` ids that overlap by `stride`, the last ones padded, each with its attention mask."""
+    chunks = windows(ids, size, stride, None)
+    return F.transform(chunks, lambda c: F.struct(fixed_length(c, size, F.lit(pad).cast("long")).alias("ids"), fixed_length(F.transform(c, lambda _: F.lit(1)), size, F.lit(0)).alias("mask")))
+
+
+def marked_labels(ids: Column, begin: int, role: int, newline: int, end: int) -> Column:
+    """Labels by scanning for turn markers: what follows (begin, role, newline) up to and with the next `end`; -100 elsewhere."""
+
+    def scan(ids: Column) -> Column:
+        opens = F.filter(subsequence_starts(ids, F.array(*(F.lit(x).cast("long") for x in (begin, role, newline)))), lambda i: i.isNotNull())
+        ends = F.filter(F.transform(ids, lambda x, i: F.when(x == end, i)), lambda i: i.isNotNull())
+        spans = F.transform(opens, lambda s: F.struct((s + 3).alias("a"), F.coalesce(F.array_min(F.filter(ends, lambda e: e >= s + 3)), F.size(ids)).alias("b")))
+        labelled = F.transform(F.array(spans), lambda sp: F.transform(ids, lambda x, i: F.when(F.exists(sp, lambda p: (i >= p["a"]) & (i <= p["b"])), x).otherwise(F.lit(IGNORE).cast("long"))))
+        return F.element_at(labelled, 1)
+
+    return F.element_at(F.transform(F.array(ids), scan), 1)
+
+
+def spliced(ids: Column, at: Column, length: Column | int, insert: Column) -> Column:
+    """`length` elements from place `at` (from 0) replaced by `insert`; unchanged where `at` is null."""
+    n = F.lit(length) if isinstance(length, int) else length
+    return F.when(at.isNull(), ids).otherwise(F.concat(F.slice(ids, F.lit(1), at), insert, F.slice(ids, at + n + 1, F.size(ids))))
+
+
+def logit_places(labels: Column) -> Column:
+    """Places whose logits predict a label: one before each label that isn't ignored."""
+    return F.filter(F.transform(labels, lambda x, i: F.when((x != IGNORE) & (i > 0), i - 1)), lambda i: i.isNotNull())
+
+
+def offsets(lengths: Column) -> Column:
+    """0 and the running sums of an array of lengths."""
+    return F.aggregate(lengths, F.array(F.lit(0).cast("long")), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))

@@ -99,3 +99,8 @@ def answer_hit(passages: Column, answer: Column) -> Column:
     """The answer, or all of its words, is in one passage (lower-cased)."""
     a = F.lower(answer)
     return F.exists(passages, lambda p: F.contains(F.lower(p), a) | F.forall(F.split(a, " "), lambda w: F.contains(F.lower(p), w)))
+
+
+def credited(metric: Column, refused: Column, found: Column) -> Column:
+    """A metric with credit for refusals, by any predicate of what a refusal is: 1 where the gold was not retrieved."""
+    return F.when(refused & ~found, 1.0).otherwise(metric)

@@ -66,3 +66,13 @@ def last_wins(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     others = [c for c in df.columns if c not in by]
     g = df.groupBy(*by).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_r"))
     return g.select(*by, "_r.*")
+
+
+def split_three(df: DataFrame, key: str, train: float, validation: float, salt: str) -> DataFrame:
+    """Adds `part` after a random order: rounded shares for train and validation, clamped to what is there, the rest test."""
+    rows = hash_numbered(df, key, salt)
+    total = rows.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    n_train = F.least(F.rint(F.col("_n") * train), F.col("_n"))
+    n_val = F.least(F.rint(F.col("_n") * validation), F.greatest(F.lit(0.0), F.col("_n") - n_train))
+    part = F.when(F.col("rn") <= n_train, "train").when(F.col("rn") <= n_train + n_val, "validation").otherwise("test")
+    return rows.crossJoin(F.broadcast(total)).withColumn("part", part).drop("rn", "_n")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Overlapping token-length bins, both ends included; the last has no upper end.
@@ -22,32 +24,37 @@ LENGTH_BINS = (
 )
 
 
-def lower_percentile(value: str, share: float) -> Column:
-    """The element at floor(share * (n - 1)) of the sorted values."""
-    return F.element_at(F.sort_array(F.collect_list(value)), (F.floor(share * (F.count(value) - 1)) + 1).cast("int"))
-
-
 def nine_stats(df: DataFrame, value: str, order: list[str] | None, *by: Column) -> DataFrame:
     """count, total, mean, median, min, max, p95, last (with an order) and the sample deviation, 0 for a single value.
 
-    The percentile is an index into sorted values, exact also for large groups: values are counted first, map-side,
-    and the running count of distinct values finds the place, so no group is gathered into one array.
+    Places of sorted values are exact for groups of any size, also a null one: values are counted first, map-side, and
+    dealt by group and value into ranges; a range's running counts and the sizes of the ranges before it say where each
+    value stands. So no group is gathered, and the whole table may be one group.
     """
-    names = [F.col(f"_k{i}") for i in range(len(by))]
-    keyed = df.select(*(c.alias(f"_k{i}") for i, c in enumerate(by)), value, *(order or []))
+    from quern.operators.storage import stable
+
+    keys = [c.alias(f"_k{i}") for i, c in enumerate(by)] or [F.lit(0).alias("_k0")]
+    names = [f"_k{i}" for i in range(len(keys))]
+    keyed = df.select(*keys, value, *(order or []))
     last = [F.max_by(value, F.struct(*order)).alias("last")] if order else []
     stats = keyed.groupBy(*names).agg(
         F.count(F.lit(1)).alias("count"), F.round(F.sum(value), 4).alias("total"), F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), *last,
         F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), 6).alias("std"),
-        # Exact, from a count per distinct value.
-        F.round(F.percentile(value, F.lit(0.5)), 6).alias("median"),
-        F.percentile(value, F.lit(0.95)).alias("_p95_between"),
     )
-    # The lower neighbour of the interpolated percentile is the greatest value not above it.
-    joined = keyed.join(F.broadcast(stats), [f"_k{i}" for i in range(len(by))]) if by else keyed.crossJoin(F.broadcast(stats))
-    p95 = joined.where(F.col(value) <= F.col("_p95_between") + F.abs("_p95_between") * 1e-12).groupBy(*names).agg(F.max(value).alias("p95"))
-    out = stats.join(p95, [f"_k{i}" for i in range(len(by))]) if by else stats.crossJoin(p95)
-    labels = [c.alias(n) for c, n in zip(names, df.select(*by).columns, strict=True)] if by else []
+    counted = keyed.where(F.col(value).isNotNull()).groupBy(*names, value).agg(F.count(F.lit(1)).alias("_c"))
+    ranges = stable(counted.repartitionByRange(*names, value).withColumn("_part", F.spark_partition_id()))
+    group = Window.partitionBy(*names)
+    sizes = ranges.groupBy("_part", *names).agg(F.sum("_c").alias("_size"))  # a row for each group and range it is in
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.sum("_size").over(group))
+    inside = Window.partitionBy("_part", *names).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    same = lambda a, b, cs: reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[c]) for c in cs))
+    placed = ranges.withColumn("_end", F.sum("_c").over(inside))
+    placed = placed.join(sizes, same(placed, sizes, ["_part", *names])).select(*(placed[c] for c in names), value, "_n", (F.col("_end") + F.col("_before")).alias("_end"), "_c")
+    at = lambda place: F.max(F.when((F.col("_end") > place) & (F.col("_end") - F.col("_c") <= place), F.col(value)))
+    n = F.col("_n")
+    places = placed.groupBy(*names).agg(at(F.floor(0.95 * (n - 1))).alias("p95"), F.round((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2, 6).alias("median"))
+    out = stats.join(places, same(stats, places, names), "left")
+    labels = [stats[c].alias(n) for c, n in zip(names, df.select(*by).columns, strict=True)] if by else []
     return out.select(*labels, "count", "total", "mean", "median", "min", "max", "p95", *(["last"] if order else []), "std")
 
 

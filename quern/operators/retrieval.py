@@ -6,7 +6,7 @@ rows a query and task are shuffled. Chunks are keyed by (doc_id, chunk_idx) in o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 from quern.functions.arrays import windows
 from quern.functions.text import tokens
+from quern.operators.storage import stable
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Chunks of a document.
 CHUNKS = 1 << 20
+#: Query postings that may go to every task: about 40 MB with their words.
+POSTINGS = 500_000
 
 
 def chunk_table(docs: DataFrame, size: int = 480, overlap: int = 80, cap: int | None = None) -> DataFrame:
@@ -33,23 +36,58 @@ def top(df: DataFrame, k: int, by: str | list[str], *order: Column | str) -> Dat
     return df.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 30, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, k: int = 30, k1: float = K1, b: float = B, epsilon: float = EPSILON, most: int = POSTINGS) -> DataFrame:
     """item_id, pid, score, rank: BM25 of `queries` (item_id, tok) over `chunks` (pid, tok), lower-cased.
 
-    Postings are counted map-side; only those of query terms meet the queries. Chunk and term statistics cover the
-    whole corpus; a term in more than half of the chunks gets epsilon times the mean idf.
+    Chunk and term statistics cover the whole corpus, each term counted once a chunk and map-side; a term in more than
+    half of the chunks gets epsilon times the mean idf. Where the queries have at most `most` postings they go to every
+    task, which scores its chunks by matrix products and keeps the k best of each query; beyond that postings are joined.
     """
-    words = chunks.select("pid", F.size("tok").alias("dl"), F.explode(F.transform("tok", F.lower)).alias("term"))
-    postings = words.groupBy("term", "pid").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    words = chunks.select(F.explode(F.array_distinct(F.transform("tok", F.lower))).alias("term"))
     stats = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tok")).alias("avgdl"))  # one row
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    idf = words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats)).select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    idf = stable(idf)
     mean = idf.agg(F.avg("idf").alias("mean"))  # one row
     asked = queries.select("item_id", F.explode(F.transform("tok", F.lower)).alias("term")).groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     terms = asked.join(idf, "term").crossJoin(F.broadcast(mean)).withColumn("w", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")))
-    hit = F.col("w") * F.col("qtf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = terms.join(postings, "term").groupBy("item_id", "pid").agg(F.round(F.sum(hit), 6).alias("score"))
-    return top(scored, k, "item_id", F.desc("score"), "pid")
+    terms = stable(terms.select("item_id", "term", "avgdl", (F.col("w") * F.col("qtf")).alias("w")))
+    if terms.count() > most:
+        postings = chunks.select("pid", F.size("tok").alias("dl"), F.explode(F.transform("tok", F.lower)).alias("term")).groupBy("term", "pid").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+        hit = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        scored = terms.join(postings, "term").groupBy("item_id", "pid").agg(F.round(F.sum(hit), 6).alias("score"))
+        return top(scored, k, "item_id", F.desc("score"), "pid")
+    found = terms.toPandas()  # at most `most` rows
+    if not len(found):
+        return chunks.sparkSession.createDataFrame([], "item_id long, pid long, score double, rank long")
+    items, vocabulary = np.unique(found["item_id"].to_numpy()), {t: i for i, t in enumerate(sorted(set(found["term"])))}
+    weights = np.zeros((len(vocabulary), len(items)))
+    weights[found["term"].map(vocabulary).to_numpy(), np.searchsorted(items, found["item_id"].to_numpy())] = found["w"].to_numpy()
+    avgdl = float(found["avgdl"].iloc[0])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_score, best_pid = np.zeros((0, len(items))), np.zeros((0, len(items)), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                tok = part.column("tok")
+                sizes = np.diff(tok.offsets.to_numpy())
+                ids = tok.flatten().dictionary_encode()
+                known = np.array([vocabulary.get(t, -1) for t in ids.dictionary.to_pylist()], np.int64)
+                term, row = known[ids.indices.to_numpy()] if len(known) else np.zeros(0, np.int64), np.repeat(np.arange(len(sizes)), sizes)
+                tf = np.bincount((row * len(vocabulary) + term)[term >= 0], minlength=len(sizes) * len(vocabulary)).reshape(len(sizes), -1).astype(np.float64)
+                hits = (tf > 0).astype(np.float64) @ (weights != 0) > 0
+                tf *= (k1 + 1) / (tf + (k1 * (1 - b + b * sizes / avgdl))[:, None])
+                scores = np.where(hits, np.round(tf @ weights, 6), -np.inf)
+                best_score = np.concatenate((best_score, scores))
+                best_pid = np.concatenate((best_pid, np.repeat(part.column("pid").to_numpy()[:, None], len(items), axis=1)))
+                order = np.lexsort((best_pid, -best_score), axis=0)[:k]
+                best_score, best_pid = np.take_along_axis(best_score, order, axis=0), np.take_along_axis(best_pid, order, axis=0)
+        good = np.isfinite(best_score.T)
+        which = np.repeat(items, good.sum(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(best_pid.T[good]), pa.array(best_score.T[good])], ["item_id", "pid", "score"])
+
+    held = chunks.select("pid", F.transform("tok", F.lower).alias("tok")).mapInArrow(score, "item_id long, pid long, score double")
+    return top(held, k, "item_id", F.desc("score"), "pid")
 
 
 def dense_top_k(vectors: DataFrame, is_query: Column, k: int, shard: int = 16384, block: int = 1024) -> DataFrame:
@@ -62,27 +100,38 @@ def dense_top_k(vectors: DataFrame, is_query: Column, k: int, shard: int = 16384
     ask = rows.where(is_query).select("vec_id", "embedding", F.lit(True).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("s"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("b"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells: dict = {}
-        for batch in batches:
-            for i, key in enumerate(zip(batch.column("s").to_pylist(), batch.column("b").to_pylist(), strict=True)):
-                cells.setdefault(key, []).append((batch, i))
-        for members in cells.values():
-            ids = np.array([b.column("vec_id")[i].as_py() for b, i in members])
-            made = np.array([b.column("embedding")[i].as_py() for b, i in members], np.float64)
-            is_q = np.array([b.column("q")[i].as_py() for b, i in members])
+        cell, held = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            if not rows.num_rows:
+                return
+            ids, is_q = rows["vec_id"].to_numpy(), rows["q"].combine_chunks().to_numpy(zero_copy_only=False)
             if not is_q.any() or is_q.all():
-                continue
-            scores, own = np.round(made[is_q] @ made[~is_q].T, 6), ids[~is_q]
-            out: list[list] = [[], [], []]
-            for q, row in zip(ids[is_q].tolist(), scores, strict=True):
-                row = np.where(own == q, -np.inf, row)
-                best = np.lexsort((own, -row))[:k]
-                best = best[np.isfinite(row[best])]
-                for col, v in zip(out, ([q] * len(best), own[best].tolist(), row[best].tolist()), strict=True):
-                    col += v
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
-
-    parts = base.union(ask).repartition(min(shards * blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "s", "b")
+                return
+            made = rows["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+            asked, own = ids[is_q], ids[~is_q]
+            scores = np.round(made[is_q] @ made[~is_q].T, 6)
+            scores[asked[:, None] == own[None, :]] = -np.inf
+            order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
+            best = np.take_along_axis(scores, order, axis=1)
+            good = np.isfinite(best)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, good.sum(axis=1))), pa.array(own[order][good]), pa.array(best[good])], ["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            at = np.stack([batch.column(c).to_numpy() for c in ("s", "b")], axis=1)
+            edges = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(at)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a < b:
+                    if (now := tuple(at[a].tolist())) != cell:
+                        if held:
+                            yield from flush()
+                        cell, held = now, []
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from flush()
+
+    parts = base.union(ask).repartition(min(shards * blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "s", "b").sortWithinPartitions("s", "b")
     found = parts.mapInArrow(search, "query_id long, vec_id long, score double")
     return top(found, k, "query_id", F.desc("score"), "vec_id")
 
@@ -122,3 +171,11 @@ def retrieval_metrics(hits: DataFrame, ks: tuple[int, ...], all_queries: DataFra
     return every.groupBy("k").agg(
         F.round(F.avg(F.when(inside, 1.0).otherwise(0.0)), 6).alias("recall"), F.round(F.avg(F.when(inside, 1.0 / F.col("first")).otherwise(0.0)), 6).alias("mrr"), F.count(F.lit(1)).alias("n")
     )
+
+
+def rerank(pairs: DataFrame, scorer: Callable[[Column, Column], Column], k: int, by: str = "item_id") -> DataFrame:
+    """Candidates (query id, pid, first_rank, query, passage) scored by any Column function of query and passage, the k best of each query.
+
+    A model goes in as a pandas UDF. Only candidates are scored; ties keep the first stage's order.
+    """
+    return top(pairs.withColumn("score", F.round(scorer(F.col("query"), F.col("passage")), 6)), k, by, F.desc("score"), "first_rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
@@ -42,10 +42,12 @@ def compact_qa_groups(t: Tables) -> DataFrame:
     return G.compact(qa(t).select("conv_id", "turn", F.col("gold").alias("prompt"), F.col("pred").alias("response")), ["conv_id"], ["turn"])
 
 
-@query("compact_qa_last_gold", "SELECT source, CAST(count(*) AS BIGINT) AS n, md5(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS ids, arg_max(text, doc_id) AS gold_context FROM documents GROUP BY source")
+@query("compact_qa_last_gold", "SELECT source, doc_id // 1000 AS part, CAST(count(*) AS BIGINT) AS n, md5(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS ids, arg_max(text, doc_id) AS gold_context FROM documents GROUP BY source, doc_id // 1000")
 def compact_qa_last_gold(t: Tables) -> DataFrame:
-    g = G.compact(t.documents.select("source", "doc_id", F.col("doc_id").cast("string").alias("prompt"), F.lit("").alias("response"), "text"), ["source"], ["doc_id"], gold="text")
-    return g.select("source", F.size("prompts").cast("long").alias("n"), F.md5(F.array_join("prompts", ",")).alias("ids"), "gold_context")
+    """Groups of a thousand ids, so that a source's list is bounded; the last value wins in each."""
+    rows = t.documents.select("source", F.floor(F.col("doc_id") / 1000).cast("long").alias("part"), "doc_id", F.col("doc_id").cast("string").alias("prompt"), F.lit("").alias("response"), "text")
+    g = G.compact(rows, ["source", "part"], ["doc_id"], gold="text")
+    return g.select("source", "part", F.size("prompts").cast("long").alias("n"), F.md5(F.array_join("prompts", ",")).alias("ids"), "gold_context")
 
 
 @query("batch_local_groups", "SELECT doc_id // 10 AS batch, source, list(doc_id ORDER BY doc_id) AS ids FROM documents GROUP BY doc_id // 10, source")
@@ -134,9 +136,11 @@ def distractor_reject(t: Tables) -> DataFrame:
     answers = t.benchmark.select("item_id", F.array_join(F.slice(clean(F.col("text")), 1, 3), " ").alias("g"))
     w = t.documents.select("doc_id", clean(F.col("text")).alias("t"))
     grams = w.where(F.size("t") >= 3).select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 2), lambda i: F.concat_ws(" ", F.element_at("t", i), F.element_at("t", i + 1), F.element_at("t", i + 2)))).alias("g"))
-    hits = answers.join(grams, "g").groupBy("item_id").agg(F.countDistinct("doc_id").alias("hit"))
-    n = t.documents.count()
-    return t.benchmark.select("item_id").join(hits, "item_id", "left").select("item_id", (F.lit(n) - F.coalesce("hit", F.lit(0))).alias("distractors"))
+    # Few answers go to where the documents are read, so that only hits are shuffled; many are joined as they come.
+    few = answers.limit(100_001).count() <= 100_000
+    hits = grams.join(F.broadcast(answers) if few else answers, "g").groupBy("item_id").agg(F.countDistinct("doc_id").alias("hit"))
+    n = t.documents.agg(F.count(F.lit(1)).alias("n"))  # one row
+    return t.benchmark.select("item_id").join(hits, "item_id", "left").crossJoin(F.broadcast(n)).select("item_id", (F.col("n") - F.coalesce("hit", F.lit(0))).alias("distractors"))
 
 
 @query("negative_pairs", f"WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {hkey('doc_id', 'negative')}, doc_id) - 1 AS rn, count(*) OVER () AS n FROM documents) SELECT a.doc_id AS context_id, b.doc_id AS prompt_id FROM r a JOIN r b ON b.rn = (a.rn + 1) % a.n WHERE a.n > 1")
@@ -161,8 +165,10 @@ def mixture_probs(t: Tables) -> DataFrame:
 @query("interleave_draws", f"WITH s AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT doc_id, lang, CAST(row_number() OVER (ORDER BY (k - 0.5) / n, {hkey('lang', 'mix')}, doc_id) AS BIGINT) AS draw FROM s")
 def interleave_draws(t: Tables) -> DataFrame:
     """One stream in which every source is spread evenly until all are exhausted."""
-    w = Window.partitionBy("lang")
-    s = t.documents.select("lang", "doc_id").withColumn("k", F.row_number().over(w.orderBy("doc_id"))).withColumn("n", F.count(F.lit(1)).over(w))
+    # Numbers over all rows by language; a language's own start where its first row stands, so that no task holds a language.
+    rows = G.numbered(t.documents.select("lang", "doc_id"), ["lang", "doc_id"], "_g")
+    sizes = rows.groupBy(F.col("lang").alias("_lang")).agg(F.min("_g").alias("_first"), F.count(F.lit(1)).alias("n"))
+    s = rows.join(sizes, F.col("lang").eqNullSafe(F.col("_lang"))).withColumn("k", F.col("_g") - F.col("_first") + 1)
     s = s.select("doc_id", "lang", ((F.col("k") - 0.5) / F.col("n")).alias("_at"), X.hash_order(F.col("lang"), "mix").alias("_m"))
     return G.numbered(s, ["_at", "_m", "doc_id"], "draw").select("doc_id", "lang", "draw")
 

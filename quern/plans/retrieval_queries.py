@@ -213,8 +213,26 @@ def maxsim_rerank(t: Tables) -> DataFrame:
     return late_interaction(made, asked, 10).select("query_id", "pid", "score", "rank")
 
 
-def late_interaction(passages: DataFrame, asked: DataFrame, k: int, blocks: int = 64) -> DataFrame:
-    """Queries in blocks, each sent to every shard of passages; the best k of each shard go on."""
+_CANDIDATES_SQL = f"""{_MAXSIM_SQL.partition(",\nb AS")[0]},
+ds AS (SELECT a.vec_id // 8 AS query_id, b.vec_id // 8 AS pid, round({_DOT.format(a='a.embedding', b='b.embedding')}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 200 = 0 AND b.vec_id % 8 = 0),
+ca AS (SELECT query_id, pid FROM ds QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pid) <= 25),
+b AS (SELECT query_id, pid, i, max({_DOT.format(a='qv', b='pv')}) AS best FROM ca JOIN qs USING (query_id) JOIN ps USING (pid) GROUP BY query_id, pid, i),
+s AS (SELECT query_id, pid, round(sum(best), 6) AS score FROM b GROUP BY query_id, pid)"""
+
+
+@query("maxsim_candidates", f"WITH {_CANDIDATES_SQL} SELECT query_id, pid, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pid) AS BIGINT) AS rank FROM s QUALIFY rank <= 10")
+def maxsim_candidates(t: Tables) -> DataFrame:
+    """Late interaction over candidates only: the 25 passages whose first vector is nearest, scored again by all vectors."""
+    vecs = F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"])
+    made = t.embeddings.groupBy(F.floor(F.col("vec_id") / 8).cast("long").alias("pid")).agg(vecs.alias("vecs"))
+    near = R.dense_top_k(t.embeddings.where("vec_id % 8 = 0"), F.col("vec_id") % 200 == 0, 25)
+    pairs = near.select(F.floor(F.col("query_id") / 8).cast("long").alias("query_id"), F.floor(F.col("vec_id") / 8).cast("long").alias("pid"))
+    pairs = pairs.join(made, "pid").join(made.select(F.col("pid").alias("query_id"), F.col("vecs").alias("qvecs")), "query_id")
+    return R.top(pairs.select("query_id", "pid", F.round(A.max_sim(F.col("qvecs"), F.col("vecs")), 6).alias("score")), 10, "query_id", F.desc("score"), "pid").select("query_id", "pid", "score", "rank")
+
+
+def late_interaction(passages: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Every query against every shard of passages; the best k of each shard go on to the merge."""
     shards = int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = passages.withColumn("s", F.pmod(F.xxhash64("pid"), F.lit(shards)).cast("int"))
     sent = asked.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))

@@ -100,19 +100,19 @@ def refusal_flags(t: Tables) -> DataFrame:
 _CREDIT_SQL = f"""{_DECLINED_SQL}, n AS (SELECT conv_id, turn, {norm_a('pred')} AS np, {norm_a('gold')} AS ng, {norm_a('context')} AS nc FROM d),
 k AS (SELECT *, {tokens('np')} AS tp, {tokens('ng')} AS tg, {tokens('nc')} AS tc FROM n),
 s AS (SELECT *, np = '{X.STRICT_REFUSAL}' OR starts_with(np, '{X.STRICT_REFUSAL} ') AS refused, len(tg) > 0 AND (contains(array_to_string(tc, ' '), array_to_string(tg, ' ')) OR (len(tg) >= 3 AND len(list_filter(tg, lambda t: list_contains(tc, t))) / len(tg) >= 0.5)) AS found, {multiset('tp', 'tg')} AS c FROM k),
-v AS (SELECT conv_id, turn, refused, found, CAST(np = ng AS DOUBLE) AS em, {f1('c', 'len(tp)', 'len(tg)')} AS f FROM s)"""
+v AS (SELECT conv_id, turn, refused, found, CASE WHEN ng = '' THEN 0.0 ELSE CAST(contains(np, ng) AS DOUBLE) END AS co, CAST(np = ng AS DOUBLE) AS em, {f1('c', 'len(tp)', 'len(tg)')} AS f FROM s)"""
 
 
 def _credited(t: Tables) -> DataFrame:
     found = M.gold_in_retrieved(F.col("gold"), F.col("context"))
-    df = _declined(t).select("conv_id", "turn", X.is_refusal(F.col("pred"), False).alias("refused"), found.alias("found"), M.exact_match(F.col("pred"), F.col("gold")).alias("em"), M.token_f1(F.col("pred"), F.col("gold")).alias("f"))
+    df = _declined(t).select("conv_id", "turn", X.is_refusal(F.col("pred"), False).alias("refused"), found.alias("found"), M.exact_match(F.col("pred"), F.col("gold")).alias("em"), M.token_f1(F.col("pred"), F.col("gold")).alias("f"), M.contains_answer(F.col("pred"), F.col("gold")).alias("co"), "pred", "gold")
     return df
 
 
-@query("refusal_credit", f"WITH {_CREDIT_SQL} SELECT conv_id, turn, CASE WHEN refused AND NOT found THEN 1.0 ELSE em END AS em, round(CASE WHEN refused AND NOT found THEN 1.0 ELSE f END, 6) AS f1 FROM v")
+@query("refusal_credit", f"WITH {_CREDIT_SQL} SELECT conv_id, turn, CASE WHEN refused AND NOT found THEN 1.0 ELSE em END AS em, round(CASE WHEN refused AND NOT found THEN 1.0 ELSE f END, 6) AS f1, CASE WHEN refused AND NOT found THEN 1.0 ELSE co END AS contain, refused AND NOT found AS rouge_credited FROM v")
 def refusal_credit(t: Tables) -> DataFrame:
     credit = lambda m: F.when(F.col("refused") & ~F.col("found"), 1.0).otherwise(m)
-    return _credited(t).select("conv_id", "turn", credit(F.col("em")).alias("em"), F.round(credit(F.col("f")), 6).alias("f1"))
+    return _credited(t).select("conv_id", "turn", credit(F.col("em")).alias("em"), F.round(credit(F.col("f")), 6).alias("f1"), credit(F.col("co")).alias("contain"), (F.col("refused") & ~F.col("found") & (credit(M.rouge_l(F.col("pred"), F.col("gold"))) == 1.0)).alias("rouge_credited"))
 
 
 @query(
@@ -201,17 +201,18 @@ def ordered_unique_ci(t: Tables) -> DataFrame:
 
 
 _GOLD_SQL = f"""{QA_SQL}, b AS (SELECT conv_id, turn, list_filter(list_transform(string_split(pred, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS paras,
-  list_filter(string_split_regex(regexp_replace(lower(gold), '[!-/:-@\\[-`{{-~]', '', 'g'), '[ \\t\\n\\r]+'), lambda w: w NOT IN ('', {quoted(X.STOPWORDS)})) AS kw FROM qa),
-s AS (SELECT conv_id, turn, unnest(paras) AS para, generate_subscripts(paras, 1) - 1 AS idx, kw FROM b),
-c AS (SELECT conv_id, turn, para, idx, CAST(len(list_filter(kw, lambda w: contains(lower(para), w))) AS DOUBLE) AS score FROM s),
+  list_filter(string_split_regex(regexp_replace(lower(gold), '[!-/:-@\\[-`{{-~]', '', 'g'), '[ \\t\\n\\r]+'), lambda w: w NOT IN ('', {quoted(X.STOPWORDS)})) AS kw,
+  list_filter(string_split_regex(regexp_replace(lower(string_split(pred, '.')[1]), '[!-/:-@\\[-`{{-~]', '', 'g'), '[ \\t\\n\\r]+'), lambda w: w NOT IN ('', {quoted(X.STOPWORDS)})) AS aw FROM qa),
+s AS (SELECT conv_id, turn, unnest(paras) AS para, generate_subscripts(paras, 1) - 1 AS idx, kw, aw FROM b),
+c AS (SELECT conv_id, turn, para, idx, CAST(len(list_filter(kw, lambda w: contains(lower(para), w))) AS DOUBLE) + 2.0 * len(list_filter(aw, lambda w: contains(lower(para), w))) AS score FROM s),
 r AS (SELECT *, row_number() OVER o AS rn, coalesce(sum(length(para)) OVER (PARTITION BY conv_id, turn ORDER BY score DESC, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum FROM c WINDOW o AS (PARTITION BY conv_id, turn ORDER BY score DESC, idx))"""
 
 
 @query("gold_paragraphs", f"WITH {_GOLD_SQL} SELECT conv_id, turn, string_agg(para, chr(10) || chr(10) ORDER BY idx) AS gold_context, CAST(count(*) AS BIGINT) AS n FROM r WHERE NOT (rn - 1 >= 3 AND cum >= 200) GROUP BY conv_id, turn")
 def gold_paragraphs(t: Tables) -> DataFrame:
-    """Best paragraphs by keyword hits until there are three and 200 characters, in their own order."""
-    s = qa(t).select("conv_id", "turn", F.posexplode(X.paragraphs(F.col("pred"))).alias("idx", "para"), X.keywords(F.col("gold")).alias("kw"))
-    c = s.withColumn("score", X.paragraph_score(F.col("para"), F.col("kw"), F.array().cast("array<string>")))
+    """Best paragraphs by the question's keyword hits and twice the answer's, here a reply's first sentence, until there are three and 200 characters, in their own order."""
+    s = qa(t).select("conv_id", "turn", F.posexplode(X.paragraphs(F.col("pred"))).alias("idx", "para"), X.keywords(F.col("gold")).alias("kw"), X.keywords(F.element_at(F.split("pred", "\\."), 1)).alias("aw"))
+    c = s.withColumn("score", X.paragraph_score(F.col("para"), F.col("kw"), F.col("aw")))
     o = Window.partitionBy("conv_id", "turn").orderBy(F.desc("score"), "idx")
     r = c.withColumn("rn", F.row_number().over(o)).withColumn("cum", F.coalesce(F.sum(F.length("para")).over(o.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     g = r.where(~((F.col("rn") - 1 >= 3) & (F.col("cum") >= 200))).groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(F.struct("idx", "para"))).alias("l"))

@@ -63,3 +63,9 @@ def cached(spark, root: str, settings: dict, build: Callable[[], DataFrame]) ->
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def write_evaluation(predictions: DataFrame, gold: DataFrame, samples: DataFrame, summary: DataFrame, root: str) -> None:
+    """An evaluator's files below `root`, each as JSON lines: predictions, gold, samples and summary."""
+    for name, df in (("predictions", predictions), ("gold", gold), ("samples", samples), ("summary", summary)):
+        write_jsonl(df, f"{root}/{name}")

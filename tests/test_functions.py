@@ -99,3 +99,38 @@ def test_packs_by_definition():
         assert got == want
     assert P.packs([25, 5, 5, 25, 5], [1] * 5, 20, 15) == [-1, 0, 0, -1, 1]
     assert P.qa_batches([5, 5, 30, 5], 12, -1) == [0, 0, -1, 1] and P.qa_batches([3, 3], 12, 4) == [0, 0]
+
+
+def test_statistics_keep_null_groups(spark):
+    from pyspark.sql import functions as F
+
+    from quern.operators.reporting import nine_stats
+
+    rows = [("a", 1.0), ("a", 4.0), (None, 2.0), (None, 2.0), (None, 9.0), ("n", None)]
+    got = {r["name"]: r for r in nine_stats(spark.createDataFrame(rows, "name string, value double"), "value", None, F.col("name")).collect()}
+    assert set(got) == {"a", None, "n"}
+    assert (got["a"]["median"], got["a"]["p95"], got["a"]["count"]) == (2.5, 1.0, 2)
+    assert (got[None]["median"], got[None]["p95"], got[None]["total"]) == (2.0, 2.0, 13.0)
+    assert got["n"]["median"] is None and got["n"]["count"] == 1
+
+
+def test_bm25_by_joins_and_by_matrices(spark):
+    """Both ways to score give the same rows."""
+    from quern.operators import retrieval as R
+
+    words = ["ab", "bc", "cd", "de", "ef", "the"]
+    chunks = spark.createDataFrame([(k, [words[(k * j) % 6] for j in range(1, 3 + k % 7)]) for k in range(60)] + [(99, [])], "pid long, tok array<string>")
+    asked = spark.createDataFrame([(1, ["ab", "the", "ab"]), (2, ["zz"]), (3, ["ef", "cd"])], "item_id long, tok array<string>")
+    rows = lambda most: sorted(map(tuple, R.bm25(chunks, asked, 5, most=most).select("item_id", "pid", "score", "rank").collect()))
+    assert rows(0) == rows(100) and rows(100)
+    assert R.bm25(chunks, asked.where("item_id = 2"), 5).count() == 0
+
+
+def test_template_membership(spark):
+    from pyspark.sql import functions as F
+
+    from quern.functions import templates as P
+
+    df = spark.createDataFrame([("longbench/qasper_e",), ("squad_e",), ("drop",), ("longbench/hotpotqa_e",)], "name string")
+    got = [tuple(r) for r in df.select(P.member_of(F.col("name"), P.CLOSED_QA_SETS), P.member_of(F.col("name"), P.MULTI_ANSWER_SETS)).collect()]
+    assert got == [(True, True), (False, False), (True, True), (False, True)] and len(P.CLOSED_QA) == 22

@@ -3,6 +3,8 @@
 import glob
 import math
 import os
+import re
+from html import unescape
 
 import duckdb
 import numpy as np
@@ -36,6 +38,10 @@ def test_query(spark, duck, name):
     got = catalog.queries()[name](spark, SF).toPandas()
     sql = catalog.oracle_sql().get(name)
     if sql is None:
+        assert name == "html_text"  # what a full parser keeps is what the page's own words are
+        for html, text in spark.read.parquet(f"{SF}/pages.parquet").join(spark.createDataFrame(got), "page_id").select("html", "text").collect():
+            plain_words = set(unescape(re.sub(r"<[^>]*>", " ", re.sub(r"(?is)<(script|style|noscript).*?</\1>|<!--.*?-->", " ", html))).split())
+            assert set(text.split()) <= plain_words | set(re.sub(r"<[^>]*>", "", unescape(html)).split())
         return
     want = duck.execute(sql).df()
     assert set(got.columns) == set(want.columns)
