@@ -48,6 +48,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     back = spark.read.schema(df.schema).parquet(path)
     back._quern_path = path
     _made.append(back)
+    spark._jvm.System.gc()  # shuffle files of plans that are done go once the driver finds nobody holds them
     return back
 
 
