@@ -5,7 +5,7 @@ before and after it are not letters or digits (of ASCII), so `adult` is no hit i
 blocks; so do soft terms whose weights, each distinct term once, reach `soft_limit`.
 
 Defined cases: a null url or one without `://` has an empty host and path and fits no rule; a null url is allowed;
-repeated urls get equal rows; other columns of the input are ignored, so their names may clash with the result's.
+repeated urls get equal rows; a url of any length is read whole; an empty table gives no rows; other columns of the input are ignored, so their names may clash with the result's.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from quern.llm.common import ascii_lower
 #: The vocabulary.
 STRICT = ("porn", "xxx", "adult", "casino", "viagra", "escort", "hentai", "camgirl", "poker")
 SOFT = {
-    "ads": 1.0, "bets": 1.0, "bonus": 1.0, "cheap": 1.0, "click": 1.0, "farm": 1.0, "free": 1.0, "loan": 1.0,
-    "pills": 1.0, "spam": 1.0, "track": 1.0, "win": 1.0,
+    "ads": 0.75, "bets": 1.5, "bonus": 1.0, "cheap": 1.0, "click": 0.75, "farm": 0.75, "free": 1.0, "loan": 1.25,
+    "pills": 1.5, "spam": 1.5, "track": 0.5, "win": 0.75,
 }
 SOFT_LIMIT = 2.0
 #: (host, path, verdict).
@@ -38,24 +38,43 @@ class Vocabulary:
     soft: Mapping[str, float] = field(default_factory=lambda: dict(SOFT))
     soft_limit: float = SOFT_LIMIT
 
-
-def hits(url: str, vocabulary: Vocabulary) -> tuple[set[str], set[str]]:
-    """The distinct strict and soft terms that stand between boundaries in `url`."""
+    @classmethod
+    def read(cls, path: str, soft_limit: float = SOFT_LIMIT) -> Vocabulary:
+        """From lines of a term, a tab, and `strict` or the term's weight; weights are below the limit, so that one soft term never blocks."""
+        strict, soft = [], {}
+        with open(path, encoding="utf-8") as f:
+            for term, kind in (line.rstrip("\n").lower().split("\t") for line in f if line.strip()):
+                if kind == "strict":
+                    strict.append(term)
+                elif not 0 < float(kind) < soft_limit:
+                    raise ValueError(f"the weight of {term} must lie between 0 and {soft_limit}")
+                else:
+                    soft[term] = float(kind)
+        return cls(tuple(strict), soft, soft_limit)
+
+
+def automaton(vocabulary: Vocabulary):
+    """One automaton per process for each set of terms."""
     import ahocorasick
 
     key = (tuple(vocabulary.strict), tuple(sorted(vocabulary.soft)))
     if key not in _automata:
         made = ahocorasick.Automaton()
-        for term in {*key[0], *key[1]}:
+        for term in sorted({*key[0], *key[1]}):
             made.add_word(term, term)
         made.make_automaton()
-        _automata[key] = made
-    found = set()
-    for last, term in _automata[key].iter(url):
+        _automata[key] = made, frozenset(key[0]), frozenset(key[1])
+    return _automata[key]
+
+
+def hits(url: str, terms) -> tuple[frozenset[str], frozenset[str]]:
+    """The distinct strict and soft terms of an automaton() that stand between boundaries in `url`."""
+    found, (machine, strict, soft) = set(), terms
+    for last, term in machine.iter(url):
         first = last - len(term)
         if not (first >= 0 and _wordy(url[first])) and not (last + 1 < len(url) and _wordy(url[last + 1])):
             found.add(term)
-    return found & set(key[0]), found & set(key[1])
+    return strict & found, soft & found
 
 
 def _wordy(c: str) -> bool:
@@ -64,10 +83,11 @@ def _wordy(c: str) -> bool:
 
 def _method(vocabulary: Vocabulary):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = automaton(vocabulary)
         for batch in batches:
             strict, soft, weight = [], [], []
             for url in batch.column("_lower").to_pylist():
-                a, b = hits(url or "", vocabulary)
+                a, b = hits(url or "", terms)
                 strict.append(len(a))
                 soft.append(len(b))
                 weight.append(float(sum(vocabulary.soft[t] for t in sorted(b))))
@@ -108,6 +128,7 @@ def oracle() -> str:
     """DuckDB SQL of op1's rows; the boundary checks are regular expressions there."""
     terms = lambda ts: "[" + ", ".join(f"'{t}'" for t in ts) + "]"
     count = lambda ts: f"len(list_filter({terms(ts)}, lambda t: regexp_matches(low, '(^|[^a-z0-9])' || t || '([^a-z0-9]|$)')))"
+    weight = " + ".join(f"CASE WHEN regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') THEN {w} ELSE 0 END" for t, w in SOFT.items())
     cases = {kind: " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{out(h, p, v)}'" for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1]))) for kind, out in (("rule", lambda h, p, v: h + p), ("verdict", lambda h, p, v: v))}
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
@@ -115,8 +136,8 @@ WITH u AS (SELECT page_id, coalesce(translate(url, '{upper}', '{lower}'), '') AS
                   CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, low, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{upper}', '{lower}') AS host,
              regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) AS path FROM u),
-m AS (SELECT *, CAST({count(STRICT)} AS INTEGER) AS n_strict, CAST({count(SOFT)} AS INTEGER) AS n_soft FROM h)
+m AS (SELECT *, CAST({count(STRICT)} AS INTEGER) AS n_strict, CAST({count(SOFT)} AS INTEGER) AS n_soft, {weight} AS soft_weight FROM h)
 SELECT page_id, host, path, CASE {cases["rule"]} ELSE NULL END AS rule,
-       CASE {cases["verdict"]} WHEN n_strict > 0 OR n_soft >= {SOFT_LIMIT:g} THEN 'block' ELSE 'allow' END AS verdict,
+       CASE {cases["verdict"]} WHEN n_strict > 0 OR soft_weight >= {SOFT_LIMIT:g} THEN 'block' ELSE 'allow' END AS verdict,
        n_strict, n_soft
 FROM m"""

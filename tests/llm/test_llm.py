@@ -48,6 +48,23 @@ def test_url_rules_and_vocabulary(spark):
     assert judge_urls(df.limit(0)).count() == 0
 
 
+def test_url_vocabulary_by_weights(spark, tmp_path):
+    from quern.llm.url_filter import Vocabulary, judge_urls
+
+    (tmp_path / "terms").write_text("".join([f"bad{k}\tstrict\n" for k in range(300)] + [f"so{k}\t{0.25 * (1 + k % 6)}\n" for k in range(300)]))
+    vocabulary = Vocabulary.read(str(tmp_path / "terms"))
+    rnd, urls = random.Random(3), ["http://a.com/" + "x/" * 200_000 + "bad7", "http://a.com/so5/so5/so5"]
+    urls += ["http://a.com/" + rnd.choice("/-_.").join(rnd.choice([f"so{rnd.randrange(400)}", f"bad{rnd.randrange(250, 700)}", "word"]) for _ in range(rnd.randint(1, 4))) for _ in range(200)]
+    got = {r["page_id"]: r["verdict"] for r in judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), vocabulary=vocabulary).collect()}
+    for i, url in enumerate(urls):
+        terms = set(re.split("[^a-z0-9]+", url))
+        bad = bool(terms & set(vocabulary.strict)) or sum(vocabulary.soft.get(t, 0) for t in terms) >= 2
+        assert got[i] == ("block" if bad else "allow"), url[:80]
+    (tmp_path / "wrong").write_text("one\t2.0\n")
+    with pytest.raises(ValueError):
+        Vocabulary.read(str(tmp_path / "wrong"))
+
+
 # op2
 
 
