@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -88,6 +88,16 @@ def with_uid(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return materialize(sorted_.drop("__q_h", "__q_at").withColumn("__q_uid", F.monotonically_increasing_id()), "rows")
 
 
+def numbered(df: DataFrame, by: list[Column], name: str = "__q_rank") -> DataFrame:
+    """Adds numbers from 1 in the order `by`: rows are dealt to ranges of it, whose sizes, one row each, are summed."""
+    parts = materialize(df.repartitionByRange(partitions(df.sparkSession), *by).withColumn("__q_part", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("__q_part").agg(F.count(F.lit(1)).alias("__q_size"))
+    before = Window.orderBy("__q_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__q_part", F.coalesce(F.sum("__q_size").over(before), F.lit(0)).alias("__q_before"))
+    inside = F.row_number().over(Window.partitionBy("__q_part").orderBy(*by))
+    return parts.join(F.broadcast(offsets), "__q_part").withColumn(name, inside + F.col("__q_before")).drop("__q_part", "__q_before")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, kdtree, language, line_dedup, packing, simhash, substring_dedup, toxicity, url_filter, webp
+from quern.llm import bpe, importance, kdtree, language, line_dedup, packing, simhash, substring_dedup, toxicity, url_filter, webp
 from quern.llm.common import finished, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,8 +55,12 @@ def op10_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.store_texts(table(spark, sf_dir, "documents"))
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return finished(lambda: importance.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")), "draw-of-documents")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_url_filter": op1_url_filter, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_kdtree": op5_kdtree, "op6_line_dedup": op6_line_dedup, "op7_suffix_array": op7_suffix_array, "op8_simhash": op8_simhash, "op9_language": op9_language, "op10_webp": op10_webp}
+    return {"op1_url_filter": op1_url_filter, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_kdtree": op5_kdtree, "op6_line_dedup": op6_line_dedup, "op7_suffix_array": op7_suffix_array, "op8_simhash": op8_simhash, "op9_language": op9_language, "op10_webp": op10_webp, "op13_importance": op13_importance}
 
 
 def oracle_sql() -> dict[str, str]:
