@@ -116,7 +116,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
                 yield batch
             continue
         begin = held = 0
-        for i, n in enumerate(pa.compute.binary_length(col).to_pylist()):
+        sizes = pa.compute.multiply(pa.compute.list_value_length(col), 8) if pa.types.is_list(col.type) else pa.compute.binary_length(col)
+        for i, n in enumerate(sizes.to_pylist()):
             if held and held + (n or 0) > most:
                 yield batch.slice(begin, i - begin)
                 begin, held = i, 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, importance, kdtree, language, lexical, line_dedup, packing, simhash, substring_dedup, toxicity, url_filter, webp
+from quern.llm import bpe, importance, kdtree, language, lexical, line_dedup, packing, sharding, simhash, substring_dedup, toxicity, url_filter, webp
 from quern.llm.common import finished, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ def op10_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.store_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_kdtree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return finished(lambda: sharding.digest(table(spark, sf_dir, "documents")), "shards-of-documents")
+
+
 def op12_tput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(lambda: lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")), "hits-of-items")
 
@@ -64,7 +68,7 @@ def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_url_filter": op1_url_filter, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_kdtree": op5_kdtree, "op6_line_dedup": op6_line_dedup, "op7_suffix_array": op7_suffix_array, "op8_simhash": op8_simhash, "op9_language": op9_language, "op10_webp": op10_webp, "op12_tput": op12_tput, "op13_importance": op13_importance}
+    return {"op1_url_filter": op1_url_filter, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_kdtree": op5_kdtree, "op6_line_dedup": op6_line_dedup, "op7_suffix_array": op7_suffix_array, "op8_simhash": op8_simhash, "op9_language": op9_language, "op10_webp": op10_webp, "op11_kdtree_shards": op11_kdtree_shards, "op12_tput": op12_tput, "op13_importance": op13_importance}
 
 
 def oracle_sql() -> dict[str, str]:
