@@ -85,7 +85,7 @@ def test_bytes_are_even_and_light_copies_stay_together(spark):
         sizes[r["crc"]] += r["size"]
     limit = sum(held.values()) / 10 / 50
     assert all(len(s) == 1 for c, s in where.items() if sizes[c] <= limit) and max(map(len, where.values())) > 1
-    assert {r["shard"] for r in assign(df, target_bytes=sum(held.values()) // 4).collect()} == set(range(5))  # 4 and a rest
+    assert {r["shard"] for r in assign(df, target_bytes=-(-sum(held.values()) // 5)).collect()} == set(range(5))
 
 
 def test_odd_rows(spark):
