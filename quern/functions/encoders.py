@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,17 +31,41 @@ def hashed_words(dim: int = 64) -> Encoder:
     return encode
 
 
-def encode(text: Column, encoder: Encoder | None = None, prefix: str = "") -> Column:
-    """Vectors of texts, in Arrow batches; `prefix` is the role, as in `query: `."""
-    run = encoder or hashed_words()
+def encode(text: Column, factory: Callable[[], Encoder] | None = None, prefix: str = "", batch: int = 64) -> Column:
+    """Vectors of texts. `factory` makes a worker's model once; it is asked for `batch` texts at a time, longest first.
+
+    Texts of about one length come together, so that a model that pads wastes little. `prefix` is the role, as in
+    `query: `; a null text is an empty one.
+    """
+    make = factory or hashed_words
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def vectors(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(run([prefix + (t or "") for t in texts])))
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make()
+        for texts in batches:
+            rows = [prefix + (t or "") for t in texts]
+            order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
+            out: list = [None] * len(rows)
+            for at in range(0, len(order), batch):
+                some = order[at : at + batch]
+                for i, v in zip(some, model([rows[i] for i in some]), strict=True):
+                    out[i] = v
+            yield pd.Series(out, dtype="object")
 
     return vectors(text)
 
 
+def bridge_phrases(text: Column, stop: tuple[str, ...]) -> Column:
+    """Phrases of a text, with repeats: runs of words between signs and stop words, lower-cased, at most four words each.
+
+    Longer runs are no phrases. Single words of fewer than three characters are none either.
+    """
+    parted = F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N} \\t\\n\\r]+", " \u0001 ")
+    words = F.transform(F.split(parted, "[ \\t\\n\\r]+"), lambda w: F.when(w.isin(*stop), "\u0001").otherwise(w))
+    runs = F.transform(F.split(F.array_join(words, " "), "\u0001"), lambda r: F.trim(r))
+    return F.filter(runs, lambda r: (F.length(r) > 2) & (F.size(F.split(r, " ")) <= 4))
+
+
 def bridge_terms(tok: Column, stop: list[str], most: int = 24) -> Column:
     """Terms for a follow-up query: distinct words that are long and no stop words, longest first."""
     words = F.filter(F.array_distinct(F.transform(tok, F.lower)), lambda w: (F.length(w) > 3) & ~w.isin(*stop))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import build_queries, compile_queries, io_queries, report_queries, retrieval_queries, text_queries, training_queries  # noqa: F401
+from quern.plans import build_queries, compile_queries, io_queries, model_queries, report_queries, retrieval_queries, text_queries, training_queries  # noqa: F401
 from quern.plans.registry import QUERIES, SQL
 
 

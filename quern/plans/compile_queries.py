@@ -296,10 +296,10 @@ def page_contexts(t: Tables) -> DataFrame:
     return g.select("conv_id", X.context_of(F.col("l.text")).alias("context"))
 
 
-@query("supporting_facts", "SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10))[1:3], lambda p, i: string_split(p, ' ')[1] || ':' || (i - 1)), ' ') AS facts FROM documents WHERE text IS NOT NULL")
+@query("supporting_facts", "SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda p, i: string_split(p, ' ')[1] || ':' || (i - 1)), ' ') AS facts FROM documents WHERE text IS NOT NULL")
 def supporting_facts(t: Tables) -> DataFrame:
     """Two parallel lists, titles and places, as a list of pairs."""
-    lines = F.slice(F.split("text", "\n"), 1, 3)
+    lines = F.split("text", "\n")
     titles, places = F.transform(lines, lambda p: F.element_at(F.split(p, " "), 1)), F.transform(lines, lambda _, i: i)
     pairs = F.arrays_zip(titles.alias("title"), places.alias("idx"))
     return t.documents.where("text IS NOT NULL").select("doc_id", F.array_join(F.transform(pairs, lambda x: F.concat_ws(":", x["title"], x["idx"].cast("string"))), " ").alias("facts"))

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.operators import reporting as O
 from quern.operators.storage import scratch
 from quern.plans.registry import Tables, query
+from quern.plans.text_queries import QA_SQL, qa
 from quern.sources import readers as R
 from quern.sources import sinks as S
+from quern.sources import vector_store as V
+from quern.streaming.curate import curate
 
 
 @query("roundtrip_parquet", "SELECT doc_id, md5(text) AS text_md5, lang FROM documents")
@@ -155,13 +159,19 @@ def stats_file(t: Tables) -> DataFrame:
     return R.read_any(t.spark, path).select("name", "count")
 
 
-@query("byte_stats", "SELECT event_type AS name, CAST(count(*) AS BIGINT) AS count, CAST(max(user_id * 1000) AS BIGINT) AS max, list_sort(list(user_id * 1000))[CAST(floor(0.95 * (count(*) - 1)) AS BIGINT) + 1] AS p95, format('{:,.2f} KB', max(user_id * 1000) / 1024) AS peak FROM events GROUP BY event_type HAVING max(user_id * 1000) BETWEEN 1024 AND 1048575")
+@query(
+    "byte_stats",
+    """WITH b AS (SELECT event_type AS name, user_id * CASE WHEN event_type < 'm' THEN 1 WHEN event_type < 's' THEN 1000 ELSE 100000000 END AS bytes FROM events),
+g AS (SELECT name, CAST(count(*) AS BIGINT) AS count, CAST(max(bytes) AS BIGINT) AS max, list_sort(list(bytes))[CAST(floor(0.95 * (count(*) - 1)) AS BIGINT) + 1] AS p95 FROM b GROUP BY name)
+SELECT name, count, max, p95, CASE WHEN max < 1024 THEN format('{:,.2f} B', max / 1) WHEN max < 1048576 THEN format('{:,.2f} KB', max / 1024) WHEN max < 1073741824 THEN format('{:,.2f} MB', max / 1048576) ELSE format('{:,.2f} GB', max / 1073741824) END AS peak FROM g""",
+)
 def byte_stats(t: Tables) -> DataFrame:
-    """Byte counters by name, as timers are summed up, with a readable peak."""
+    """Byte counters by name, as timers are summed up, with a readable peak in any unit."""
     from quern.functions.text import human_bytes
 
-    stats = O.nine_stats(t.events.withColumn("bytes", F.col("user_id") * 1000), "bytes", None, F.col("event_type").alias("name"))
-    return stats.where("max BETWEEN 1024 AND 1048575").select("name", "count", "max", "p95", human_bytes(F.col("max")).alias("peak"))
+    scale = F.when(F.col("event_type") < "m", 1).when(F.col("event_type") < "s", 1000).otherwise(100_000_000)
+    stats = O.nine_stats(t.events.withColumn("bytes", F.col("user_id") * scale), "bytes", None, F.col("event_type").alias("name"))
+    return stats.select("name", "count", "max", "p95", human_bytes(F.col("max")).alias("peak"))
 
 
 @query("cached_table", "SELECT lang, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY lang")
@@ -183,11 +193,19 @@ def evaluator_files(t: Tables) -> DataFrame:
     return read("predictions", "id long, prediction long").join(read("gold", "id long, gold long"), "id").select("id", F.col("prediction").alias("turns"), F.col("gold").alias("chars"))
 
 
-@query("file_layout", "SELECT 'compact' AS compact, 'raw' AS raw FROM (SELECT 1)")
+@query("file_layout", "SELECT form, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents, (SELECT unnest(['compact', 'raw']) AS form) GROUP BY form")
 def file_layout(t: Tables) -> DataFrame:
-    """Compact or raw, by a file's columns."""
-    compact = t.documents.select(F.col("text").alias("context"), F.array("lang").alias("prompts"), F.array("source").alias("responses"))
-    return t.spark.range(1).select(F.lit(R.layout_of(compact)).alias("compact"), F.lit(R.layout_of(t.documents)).alias("raw"))
+    """Files written in both layouts, told apart by their columns when they are read, and their contexts read by layout."""
+    root, out = scratch(t.spark, "layouts"), None
+    t.documents.select(F.col("text").alias("context"), F.array("lang").alias("prompts"), F.array("source").alias("responses")).write.parquet(f"{root}/a")
+    t.documents.write.parquet(f"{root}/b")
+    for name in ("a", "b"):
+        df = R.read_any(t.spark, f"{root}/{name}")
+        form = R.layout_of(df)
+        n = df.select(F.col("context" if form == "compact" else "text").alias("text")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+        row = n.select(F.lit(form).alias("form"), "n", "chars")
+        out = row if out is None else out.union(row)
+    return out
 
 
 @query("page_text_cap", "SELECT page_id, substr(html, 1, 25000) AS text FROM pages")
@@ -196,3 +214,27 @@ def page_text_cap(t: Tables) -> DataFrame:
     from quern.sources.html import capped
 
     return t.pages.select("page_id", capped(F.col("html")).alias("text"))
+
+
+@query("vector_store_upsert", "SELECT vec_id % 50 AS pid, CAST(max(vec_id) AS BIGINT) AS version, arg_max(embedding[1], vec_id) AS x FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 50 < 10 GROUP BY vec_id % 50")
+def vector_store_upsert(t: Tables) -> DataFrame:
+    """A table in buckets: the second upsert rewrites only the buckets of its ten keys."""
+    root = scratch(t.spark, "store")
+    rows = t.embeddings.select(F.lit("ns").alias("namespace"), (F.col("vec_id") % 50).alias("pid"), F.col("vec_id").alias("version"), F.col("embedding")[0].alias("x"))
+    V.upsert(rows.where("version % 2 = 0"), root, "version")
+    V.upsert(rows.where("version % 2 = 1 AND pid < 10"), root, "version")
+    return V.read(t.spark, root).select("pid", "version", "x")
+
+
+@query("curate_stream", f"WITH {QA_SQL} SELECT conv_id % 6 AS batch, CAST(conv_id % 4 AS VARCHAR) AS context, CAST(count(*) AS BIGINT) AS n, md5(string_agg(gold, '|' ORDER BY conv_id, turn)) AS prompts, md5(string_agg(pred, '|' ORDER BY conv_id, turn)) AS responses FROM qa GROUP BY conv_id % 6, conv_id % 4")
+def curate_stream(t: Tables) -> DataFrame:
+    """Streamed curation: six files are six micro-batches, each grouped by context and appended on its own."""
+    root = scratch(t.spark, "stream")
+    rows = qa(t).select((F.col("conv_id") % 6).alias("batch"), (F.col("conv_id") % 4).cast("string").alias("context"), F.struct("conv_id", "turn").alias("pos"), F.col("gold").alias("prompt"), F.col("pred").alias("response"))
+    rows.withColumn("part", F.col("batch")).repartition("part").write.partitionBy("part").parquet(f"{root}/in")
+    schema = T.StructType([f for f in rows.schema if f.name != "batch"])
+    curate(t.spark, f"{root}/in", schema, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    joined = lambda c: F.md5(F.array_join(c, "|")).alias(c)
+    # A micro-batch's number is the stream's; the batch its rows came from is told by their conversations.
+    done = t.spark.read.parquet(f"{root}/out")
+    return done.select((F.col("pos")[0]["conv_id"] % 6).alias("batch"), "context", F.size("prompts").cast("long").alias("n"), joined("prompts"), joined("responses"))

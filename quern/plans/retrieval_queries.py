@@ -9,6 +9,8 @@ from quern.functions import arrays as A
 from quern.functions import text as X
 from quern.functions.metrics import token_f1
 from quern.operators import retrieval as R
+from quern.operators import sparse_index as S
+from quern.operators.storage import stable
 from quern.plans.registry import Tables, f1, multiset, norm_a, query, tokens
 
 
@@ -133,14 +135,20 @@ def sparse_maxpool(t: Tables) -> DataFrame:
     return _sparse(R.chunk_table(t.documents), "pid", F.col("tok")).groupBy("pid").agg(F.count(F.lit(1)).alias("terms"), F.sum(F.round(F.col("weight") * 1000000).cast("long")).alias("micro_mass"), F.round(F.max("weight"), 6).alias("top"))
 
 
-def _sparse_scores(t: Tables) -> tuple[DataFrame, DataFrame]:
+def _sparse_index(t: Tables) -> tuple[DataFrame, S.SparseIndex, DataFrame]:
     chunks = R.chunk_table(t.documents)
-    return chunks, R.sparse_scores(_sparse(chunks, "pid", F.col("tok")).where("weight > 0"), _sparse(t.benchmark, "item_id", X.tokens(F.col("text"))).where("weight > 0"))
+    asked = _sparse(t.benchmark, "item_id", X.tokens(F.col("text"))).withColumnRenamed("item_id", "query")
+    return chunks, S.build(_sparse(chunks, "pid", F.col("tok")), chunks), asked
+
+
+def _sparse_hits(t: Tables, k: int) -> DataFrame:
+    _, index, asked = _sparse_index(t)
+    return S.search(index, asked, k).withColumnRenamed("query", "item_id")
 
 
 @query("sparse_topk", f"WITH {_SPARSE_SQL} SELECT item_id, pid, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, pid) AS BIGINT) AS rank FROM sc QUALIFY rank <= 20")
 def sparse_topk(t: Tables) -> DataFrame:
-    return R.top(_sparse_scores(t)[1], 20, "item_id", F.desc("score"), "pid")
+    return _sparse_hits(t, 20)
 
 
 _NORM_SQL = f"""{_SPARSE_SQL}, nn AS (SELECT count(*) AS n FROM chunks), mm AS (SELECT item_id, CASE WHEN count(*) < any_value(n) THEN least(min(score), 0.0) ELSE min(score) END AS lo, max(score) AS hi FROM sc, nn GROUP BY item_id),
@@ -149,8 +157,8 @@ nm AS (SELECT item_id, pid, score, CASE WHEN hi <= lo THEN 0.0 ELSE (score - lo)
 
 @query("minmax_norm", f"WITH {_NORM_SQL} SELECT item_id, pid, round(norm, 6) AS norm FROM nm QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, pid) <= 20")
 def minmax_norm(t: Tables) -> DataFrame:
-    chunks, scores = _sparse_scores(t)
-    return R.top(R.min_max(scores, chunks.count()), 20, "item_id", F.desc("score"), "pid").select("item_id", "pid", F.round("norm", 6).alias("norm"))
+    _, index, asked = _sparse_index(t)
+    return S.normalised(index, asked, 20).select(F.col("query").alias("item_id"), "pid", F.round("norm", 6).alias("norm"))
 
 
 @query(
@@ -165,17 +173,12 @@ SELECT item_id, pid, score, CAST(row_number() OVER (PARTITION BY item_id ORDER B
 )
 def bridge_fuse(t: Tables) -> DataFrame:
     """Terms of the best three passages ask again; base score plus 0.7 of the best bridge score."""
-    chunks = R.chunk_table(t.documents)
-    vectors = _sparse(chunks, "pid", F.col("tok"))
-    weighted = vectors.where("weight > 0")
-    n = chunks.count()
-    base = R.min_max(R.sparse_scores(weighted, _sparse(t.benchmark, "item_id", X.tokens(F.col("text"))).where("weight > 0")), n)
-    seeds = R.top(base, 3, "item_id", F.desc(F.round("norm", 9)), "pid").select("item_id", "pid", F.col("rank").alias("seed"))
-    terms = R.top(seeds.join(vectors, "pid"), 24, ["item_id", "seed"], F.desc("weight"), "term")
-    asked = terms.select(F.struct("item_id", "seed").alias("item_id"), "term", "weight")
-    bridge = R.min_max(R.sparse_scores(weighted, asked), n).groupBy(F.col("item_id.item_id").alias("item_id"), "pid").agg(F.max("norm").alias("bridge"))
-    fused = base.select("item_id", "pid", "norm").join(bridge, ["item_id", "pid"], "full").select("item_id", "pid", F.round(F.coalesce("norm", F.lit(0.0)) + 0.7 * F.coalesce("bridge", F.lit(0.0)), 9).alias("score"))
-    return R.top(fused, 10, "item_id", F.desc("score"), "pid").select("item_id", "pid", "score", "rank")
+    chunks, index, asked = _sparse_index(t)
+    best = S.normalised(index, asked, 64)  # in order of score, which rounding the norm may blur
+    seeds = stable(R.top(best.select("query", "pid", "norm"), 3, "query", F.desc(F.round("norm", 9)), "pid").select("query", "pid", F.col("rank").alias("seed")))
+    of_seeds = chunks.join(seeds.select(F.floor(F.col("pid") / R.CHUNKS).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    terms = R.top(seeds.join(_sparse(of_seeds, "pid", F.col("tok")), "pid"), 24, ["query", "seed"], F.desc("weight"), "term")
+    return S.fused(index, asked, terms.select("query", "seed", "term", "weight"), 10).select(F.col("query").alias("item_id"), "pid", "score", "rank")
 
 
 _LISTS_SQL = f"{_BM25_SQL}, {_SPARSE_SQL.partition(', pw AS')[1].lstrip(', ')}{_SPARSE_SQL.partition(', pw AS')[2]}, sp AS (SELECT item_id, pid, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, pid) AS BIGINT) AS rank FROM sc QUALIFY rank <= 30)"
@@ -183,7 +186,7 @@ _LISTS_SQL = f"{_BM25_SQL}, {_SPARSE_SQL.partition(', pw AS')[1].lstrip(', ')}{_
 
 def _lists(t: Tables) -> tuple[DataFrame, DataFrame]:
     lexical = _hits(t)[1].select(F.col("item_id").alias("query_id"), F.col("pid").alias("key"), "rank")
-    sparse = R.top(_sparse_scores(t)[1], 30, "item_id", F.desc("score"), "pid").select(F.col("item_id").alias("query_id"), F.col("pid").alias("key"), "rank")
+    sparse = _sparse_hits(t, 30).select(F.col("item_id").alias("query_id"), F.col("pid").alias("key"), "rank")
     return lexical, sparse
 
 

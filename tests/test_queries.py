@@ -38,6 +38,8 @@ def test_query(spark, duck, name):
     got = catalog.queries()[name](spark, SF).toPandas()
     sql = catalog.oracle_sql().get(name)
     if sql is None:
+        if name in {"rouge_l_stemmed", "sentence_cosine_top2"}:  # held against brute force in test_models.py
+            return
         assert name == "html_text"  # what a full parser keeps is what the page's own words are
         for html, text in spark.read.parquet(f"{SF}/pages.parquet").join(spark.createDataFrame(got), "page_id").select("html", "text").collect():
             plain_words = set(unescape(re.sub(r"<[^>]*>", " ", re.sub(r"(?is)<(script|style|noscript).*?</\1>|<!--.*?-->", " ", html))).split())
