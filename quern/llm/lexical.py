@@ -1,10 +1,10 @@
 """Ranked lexical search by three-phase uniform thresholds (TPUT) over term-partitioned postings.
 
-The index is one table. A task counts the terms of its documents and sends a block for each term: row numbers, counts
-and document lengths. Blocks meet by term and segment and are written as lists in order of falling impact, in parts.
-An impact is the part of a score that the query doesn't change: (10^9 tf) div (1000 tf + 20 m). A segment is the work
-of sixteen neighbouring tasks, so the list of a term that all documents hold lies in as many segments as the input has
-tasks by sixteen, each of bounded length.
+A posting is a row number and an impact, the part of a score that the query doesn't change: (10^9 tf) div (1000 tf +
+20 m). A first pass counts documents and terms, on which m depends; in the second a task counts the terms of its
+documents and sends a packed block for each term that some item asks for. Blocks meet by term and segment and are
+written as lists in order of falling impact, in parts. A segment is the work of sixteen neighbouring tasks, so the list
+of a term that all documents hold lies in as many segments as the input has tasks by sixteen, each of bounded length.
 
 A search takes three phases. The first fetches the head of every list; the k-th highest sum an item has from heads
 alone is a lower bound of its k-th score. The second divides that bound by the item's number of terms and fetches from
@@ -21,6 +21,7 @@ tables give no rows; other columns are ignored whatever their names are.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -34,8 +35,10 @@ from pyspark.sql import functions as F
 from quern.llm.common import materialize, slices, with_uid
 
 TERM, K = rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", 50
-#: Tasks whose postings of a term make one segment, and postings of a part of a list.
-TASKS, PART = 16, 4096
+#: Tasks whose postings of a term make one segment, postings of a part of a list, and bytes of text to a block.
+TASKS, PART, SLICE = 16, 4096, 16 << 20
+#: Terms up to which a task is sent the terms that are asked for; with more of them all terms are listed.
+ASKED = 200_000
 _find = re.compile(TERM).findall
 
 
@@ -49,52 +52,69 @@ def _bytes(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
-def _lists_of(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))
+def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.BinaryArray:
+    """One binary value for each stretch between two bounds."""
+    raw, offsets = np.ascontiguousarray(values), (bounds * values.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "_text"):
+        n = [len(_find(t.lower())) for t in _bytes(batch, "_text") if t]
+        yield pa.RecordBatch.from_arrays([pa.array([sum(map(bool, n))]), pa.array([sum(n)])], ["docs", "terms"])
 
 
-def _blocks(tasks: int):
+def _blocks(n_docs: int, n_terms: int, asked: frozenset | None, tasks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = TaskContext.get().partitionId() // tasks
-        for batch in slices(batches, "_text"):
-            yield _block(batch, segment)
+        for batch in slices(batches, "_text", SLICE):
+            yield _block(batch, segment, n_docs, n_terms, asked)
 
     return run
 
 
-def _block(batch: pa.RecordBatch, segment: int) -> pa.RecordBatch:
-    """A block for each term of a slice; the block of the null term holds every document with its number of terms."""
+def _block(batch: pa.RecordBatch, segment: int, n_docs: int, n_terms: int, asked: frozenset | None) -> pa.RecordBatch:
+    """A block for each term of a slice that is asked for: row numbers from a base on, and impacts."""
     terms: dict[bytes, int] = {}
-    at, row, tf, n = [], [], [], []
+    at, row, tf, n = array("q"), array("q"), array("q"), []
     for i, text in enumerate(_bytes(batch, "_text")):
-        held = Counter(_find(text.lower())) if text else {}
-        at += [terms.setdefault(t, len(terms)) for t in held]
-        tf += held.values()
-        row += [i] * len(held)
-        n.append(sum(held.values()))
+        found = _find(text.lower()) if text else []
+        held = Counter(found if asked is None else filter(asked.__contains__, found))
+        at.extend([terms.setdefault(t, len(terms)) for t in held])
+        tf.extend(held.values())
+        row.extend([i] * len(held))
+        n.append(len(found))
     at, row, tf, n = (np.array(x, np.int64) for x in (at, row, tf, n))
+    impact = 1_000_000_000 * tf // (1000 * tf + 20 * (50 + (50 * n[row] * n_docs) // n_terms))
     order = np.argsort(at, kind="stable")
     uid = batch.column("uid").to_numpy(zero_copy_only=False)
-    docs = np.flatnonzero(n)
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(terms))), [len(at) + len(docs)]])
-    columns = [np.concatenate([x[order], y]) for x, y in ((uid[row], uid[docs]), (tf, n[docs]), (n[row], n[docs]))]
-    names = pa.array([*terms, None], pa.binary()).cast(pa.string())
-    return pa.RecordBatch.from_arrays([names, pa.array([segment] * len(names), pa.int32()), *(_lists_of(c, bounds) for c in columns)], ["term", "segment", "uids", "tfs", "ns"])
+    base = uid.min()
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(terms)))])
+    places = uid[row[order]] - base
+    wide = len(uid) > 0 and int(uid.max()) - int(base) >= 1 << 32
+    columns = [pa.array([*terms], pa.binary()).cast(pa.string()), *(pa.array([v] * len(terms), t) for v, t in ((segment, pa.int32()), (base, pa.int64()), (wide, pa.bool_())))]
+    packed = [_packed(places.astype(np.int64 if wide else np.uint32), bounds), _packed(impact[order].astype(np.uint32), bounds)]
+    return pa.RecordBatch.from_arrays([*columns, *packed], ["term", "segment", "base", "wide", "places", "impacts"])
 
 
-def _by_impact(n_docs: int, n_terms: int, part: int):
-    """Merges the neighbouring blocks of a term and segment into a list by falling impact, cut into parts."""
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers and impacts of all blocks, one after the other, and the number of postings of each block."""
+    parts = [np.frombuffer(p, np.int64 if wide else np.uint32) + base for p, wide, base in zip(*(batch.column(c).to_pylist() for c in ("places", "wide", "base")), strict=True)]
+    impact = np.frombuffer(b"".join(batch.column("impacts").to_pylist()), np.uint32).astype(np.int64)
+    return np.concatenate(parts).astype(np.int64), impact, np.array([len(p) for p in parts])
 
-    def flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
-        return batch.column(name).flatten().to_numpy()
+
+def _lists_of(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))
+
+
+def _by_impact(part: int):
+    """Merges the neighbouring blocks of a term and segment into a list by falling impact, cut into parts."""
 
     def lists(batch: pa.RecordBatch, new: np.ndarray) -> pa.RecordBatch:
         """`new` says where a list begins."""
-        sizes = batch.column("uids").value_lengths().to_numpy()
+        uid, impact, sizes = _unpacked(batch)
         group = np.repeat(np.cumsum(new) - 1, sizes)
-        uid, tf, n = (flat(batch, c) for c in ("uids", "tfs", "ns"))
-        m = 50 + (50 * n * n_docs) // n_terms
-        impact = 1_000_000_000 * tf // (1000 * tf + 20 * m)
         order = np.lexsort((uid, -impact, group))
         group, uid, impact = group[order], uid[order], impact[order]
         start = np.searchsorted(group, np.arange(group[-1] + 1))
@@ -107,7 +127,7 @@ def _by_impact(n_docs: int, n_terms: int, part: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # the open list's blocks
         for batch in batches:
-            for some in slices(iter([batch]), "uids", 8 << 20):
+            for some in slices(iter([batch]), "places", 8 << 20):
                 keys = list(zip(some.column("term").to_pylist(), some.column("segment").to_pylist(), strict=True))
                 last = keys[0] if not held else (held[-1].column("term")[-1].as_py(), held[-1].column("segment")[-1].as_py())
                 new = np.array([a != b for a, b in zip(keys, [last, *keys[:-1]], strict=True)])
@@ -134,19 +154,22 @@ def _led(new: np.ndarray) -> np.ndarray:
 NAMES = ["term", "segment", "part", "most", "uids", "impacts"]
 
 
-def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tasks: int = TASKS, part: int = PART) -> Index:
-    """The index of all rows of docs, written to the shared folder."""
+def build(docs: DataFrame, items: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", item_text_col: str = "text", tasks: int = TASKS, part: int = PART) -> Index:
+    """The index of all rows of docs, written to the shared folder: of all terms, or of those that `items` hold."""
+    asked = None
+    if items is not None:
+        words = items.select(F.lit(0).alias("item_id"), F.col(item_text_col).alias("_text")).mapInArrow(_terms_of, "item_id int, term string").select("term").distinct()
+        found = words.limit(ASKED + 1).collect()
+        asked = frozenset(r[0].encode() for r in found) if len(found) <= ASKED else None
     rows = with_uid(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")))
-    blocks = rows.select(F.col("__q_uid").alias("uid"), "_text").mapInArrow(_blocks(tasks), "term string, segment int, uids array<long>, tfs array<long>, ns array<long>")
-    blocks = materialize(blocks, "blocks")
-    total = blocks.where(F.col("term").isNull()).select(F.size("uids").alias("n"), F.aggregate("ns", F.lit(0).cast("long"), lambda a, x: a + x).alias("l")).agg(F.sum("n"), F.sum("l")).first()
+    total = rows.select("_text").mapInArrow(_totals, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
     n_docs, n_terms = (x or 0 for x in total)
-    named = blocks.where(F.col("term").isNotNull())
-    df = named.groupBy("term").agg(F.sum(F.size("uids")).alias("df"))
+    blocks = rows.select(F.col("__q_uid").alias("uid"), "_text").mapInArrow(_blocks(n_docs, max(n_terms, 1), asked, tasks), "term string, segment int, base long, wide boolean, places binary, impacts binary")
+    sorted_ = blocks.repartition("term", "segment").sortWithinPartitions("term", "segment")
+    lists = materialize(sorted_.mapInArrow(_by_impact(part), "term string, segment int, part int, most long, uids array<long>, impacts array<long>"), "lists")
+    df = lists.groupBy("term").agg(F.sum(F.size("uids")).alias("df"))
     w = F.floor(F.lit(1000.0) * F.log(F.lit(float(2 * n_docs + 2)) / (2 * F.col("df") + 1).cast("double"))).cast("long")
-    sorted_ = named.repartition("term", "segment").sortWithinPartitions("term", "segment")
-    lists = sorted_.mapInArrow(_by_impact(n_docs, max(n_terms, 1), part), "term string, segment int, part int, most long, uids array<long>, impacts array<long>")
-    return Index(materialize(lists, "lists"), materialize(df.select("term", w.alias("w")), "terms"), rows.select(F.col("__q_uid").alias("uid"), "doc_id"))
+    return Index(lists, materialize(df.select("term", w.alias("w")), "terms"), rows.select(F.col("__q_uid").alias("uid"), "doc_id"))
 
 
 def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +200,7 @@ def search(index: Index, items: DataFrame, k: int = K, id_col: str = "item_id",
     """item_id, rank, doc_id, score: each item's k documents with the highest scores above 0."""
     wanted = materialize(item_terms(items, index, id_col, text_col), "items")
     worth = F.col("w") * F.col("impact")
-    # Lists that no item asks for aren't read further.
-    asked = materialize(index.lists.join(wanted.select("term").distinct(), "term", "left_semi"), "asked")
+    asked = index.lists.join(wanted.select("term").distinct(), "term", "left_semi")
 
     # One: a list's head is the first k of each segment's first part.
     order = Window.partitionBy("term").orderBy(F.desc("impact"), "uid")

@@ -60,7 +60,8 @@ def op11_kdtree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_tput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finished(lambda: lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")), "hits-of-items")
+    items = table(spark, sf_dir, "benchmark")
+    return finished(lambda: lexical.search(lexical.build(table(spark, sf_dir, "documents"), items), items), "hits-of-items")
 
 
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,7 +61,7 @@ def test_odd_rows(spark, k, part):
     items = [(1, None), (2, ""), (3, "nowhere"), (4, "w7"), (5, "W7 w7 éa ÉA"), (5, "k2"), (None, "hot w59"), (None, "w3"), (7, text(300)), (8, "w1"), (9, "w1 w1 zzz")]
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id long, text string, score int, term string").repartition(3)
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, rank int")
-    search = lambda d, b: sorted(map(tuple, lexical.search(lexical.build(d, tasks=part, part=part), b, k).collect()), key=repr)
+    search = lambda d, b: sorted(map(tuple, lexical.search(lexical.build(d, b if part > 1 else None, tasks=part, part=part), b, k).collect()), key=repr)
     assert search(df, bench) == brute(docs, items, k)
     assert search(df.limit(0), bench) == [] and search(df, bench.limit(0)) == []
 
@@ -76,3 +76,12 @@ def test_lists_fall_in_impact_and_hold_every_posting(spark):
         assert r["impacts"] == sorted(r["impacts"], reverse=True) and r["most"] == r["impacts"][0] and len(r["uids"]) <= lexical.PART
         held.update((r["term"], u) for u in r["uids"])
     assert held == Counter((t.decode(), i) for i, text in docs.select("doc_id", "text").collect() for t in set(terms(text)))
+
+
+def test_ids_far_apart(spark):
+    from quern.llm import lexical
+
+    docs = [(1, "a b"), (1 << 50, "a b"), (-(1 << 50), "a"), (1 << 33, "b b b")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert sorted(map(tuple, lexical.search(lexical.build(df, bench), bench, 4).collect()), key=repr) == brute(docs, [(1, "a b")], 4)
