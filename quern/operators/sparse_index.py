@@ -161,7 +161,7 @@ def fused(index: SparseIndex, base: DataFrame, bridges: DataFrame, k: int, weigh
     base_asked = _asked(index, base)
     bridge_asked = _asked(index, bridges.select(F.struct("query", "seed").alias("query"), "term", "weight"))
     base_ends, bridge_ends = stable(ends(index, base_asked, bits)), stable(ends(index, bridge_asked, bits))
-    out, open_, most = None, stable(base_asked.select("query").distinct()), first
+    out, open_, most = None, stable(base_asked.select("query").union(bridge_asked.select("query.query")).distinct()), first
     while True:
         mine = base_asked.join(open_, "query", "left_semi")
         theirs = bridge_asked.join(open_.select(F.col("query").alias("q")), F.col("query.query") == F.col("q"), "left_semi")
