@@ -6,10 +6,12 @@ documents and sends a packed block for each term that some item asks for. Blocks
 written as lists in order of falling impact, in parts. A segment is the work of sixteen neighbouring tasks, so the list
 of a term that all documents hold lies in as many segments as the input has tasks by sixteen, each of bounded length.
 
-A search takes three phases. The first fetches the head of every list; the k-th highest sum an item has from heads
-alone is a lower bound of its k-th score. The second divides that bound by the item's number of terms and fetches from
-every list all postings that are worth at least that much: what is missing of a list is worth less, so each document
-has an upper bound, and a better k-th lower bound rules most out. The third looks up the exact scores of the rest.
+A search takes three phases, for the items in blocks of some hundred. The first fetches the head of every list; the
+k-th highest sum an item has from heads alone is a lower bound of its k-th score. The second divides that bound by the
+item's number of terms and fetches from every list all postings that are worth at least that much: what is missing of
+a list is worth less, so each document has an upper bound, and a better k-th lower bound rules most out. The third
+looks up the exact scores of the rest. In the second and third a posting is sent once, to the task of its document,
+however many items ask for it; that task adds up by item and passes on only what may be among an item's best.
 
 Defined cases: a null or empty text, and one without a term, is in no list and counts neither as a document nor for
 the mean length; a text of any length is read whole; rows that share a doc_id, or have none, are documents of their
@@ -32,13 +34,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize, slices, with_uid
+from quern.llm.common import materialize, numbered, partitions, slices, with_uid
 
 TERM, K = rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", 50
 #: Tasks whose postings of a term make one segment, postings of a part of a list, and bytes of text to a block.
 TASKS, PART, SLICE = 16, 4096, 16 << 20
 #: Terms up to which a task is sent the terms that are asked for; with more of them all terms are listed.
 ASKED = 200_000
+#: Items of a block, and postings of a bucket of documents.
+ITEMS, PER_BUCKET = 512, 2_000_000
 _find = re.compile(TERM).findall
 
 
@@ -192,40 +196,187 @@ def kth(sums: DataFrame, k: int) -> DataFrame:
     return sums.select("item", "s", F.row_number().over(order).alias("rn")).where(F.col("rn") <= k).groupBy("item").agg(F.min("s").alias("bound"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k).drop("n")
 
 
-def _postings(lists: DataFrame) -> DataFrame:
-    return lists.select("term", F.explode(F.arrays_zip("uids", "impacts")).alias("p")).select("term", F.col("p.uids").alias("uid"), F.col("p.impacts").alias("impact"))
+class Asked(NamedTuple):
+    """A block of items. From at[t] to at[t + 1] lie the items that hold term t, with its worth and the least impact that counts."""
 
+    at: np.ndarray
+    item: np.ndarray
+    w: np.ndarray
+    least: np.ndarray
+    terms: np.ndarray  #: by item: its number of terms, its threshold and its lower bound
+    threshold: np.ndarray
+    bound: np.ndarray
+
+
+def _bucket(uid: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = (uid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+    return (mixed % np.uint64(buckets)).astype(np.int64)
+
+
+def _by_bucket(buckets: int, term: np.ndarray, uid: np.ndarray, impact: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket of documents and term."""
+    bucket = _bucket(uid, buckets)
+    order = np.lexsort((term, bucket))
+    term, uid, impact, bucket = term[order], uid[order], impact[order], bucket[order]
+    edge = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(term, prepend=-(1 << 62)) != 0))
+    ends = np.append(edge, len(uid))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edge]), pa.array(term[edge]), _lists_of(uid, ends), _lists_of(impact, ends)], ["bucket", "term", "uids", "impacts"])
+
+
+DEALT = "bucket long, term long, uids array<long>, impacts array<long>"
+
+
+def _dealt(least: dict[str, int] | None, numbers: dict[str, int], buckets: int):
+    """Postings by the document's bucket: all of them, or those of at least the term's `least` impact."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(iter([batch]), "uids", 4 << 20):
+                terms, sizes = some.column("term").to_pylist(), some.column("uids").value_lengths().to_numpy()
+                uid, impact = some.column("uids").flatten().to_numpy(), some.column("impacts").flatten().to_numpy()
+                term = np.repeat(np.array([numbers[t] for t in terms], np.int64), sizes)
+                if least is not None:
+                    good = impact >= np.repeat(np.array([least[t] for t in terms], np.int64), sizes)
+                    term, uid, impact = term[good], uid[good], impact[good]
+                yield _by_bucket(buckets, term, uid, impact)
+
+    return run
+
+
+def _candidates(buckets: int):
+    """Candidates in the shape of postings: the item stands in place of the term, below zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uid = batch.column("uid").to_numpy()
+            yield _by_bucket(buckets, -1 - batch.column("item").to_numpy(), uid, np.zeros(len(uid), np.int64))
+
+    return run
 
-def search(index: Index, items: DataFrame, k: int = K, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, rank, doc_id, score: each item's k documents with the highest scores above 0."""
-    wanted = materialize(item_terms(items, index, id_col, text_col), "items")
-    worth = F.col("w") * F.col("impact")
-    asked = index.lists.join(wanted.select("term").distinct(), "term", "left_semi")
 
-    # One: a list's head is the first k of each segment's first part.
+def _sums(asked: Asked, term: np.ndarray, doc: np.ndarray, impact: np.ndarray, n: int, items: range, count: bool) -> tuple[np.ndarray, np.ndarray]:
+    """By item and document, the sum of what counts and, if wanted, from how many lists it comes; postings are in order of terms."""
+    sums, seen = np.zeros((len(items), n), np.int64), np.zeros((len(items), n) if count else (0, 0), np.int32)
+    edges = np.flatnonzero(np.diff(term, prepend=-1, append=-1))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        for j in range(asked.at[term[a]], asked.at[term[a] + 1]):
+            i = asked.item[j] - items.start
+            if 0 <= i < len(items):
+                good = impact[a:b] >= asked.least[j]
+                d = doc[a:b][good]  # a document is in a list once
+                sums[i, d] += asked.w[j] * impact[a:b][good]
+                if count:
+                    seen[i, d] += 1
+    return sums, seen
+
+
+def _added(asked: Asked, k: int, exact: bool):
+    """Sums of a bucket's documents: those whose upper bound reaches the item's lower bound, or the k best of the candidates."""
+
+    def bucket(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        term = np.repeat(whole.column("term").to_numpy(), whole.column("uids").value_lengths().to_numpy())
+        uid, impact = whole.column("uids").flatten().to_numpy(), whole.column("impacts").flatten().to_numpy()
+        wanted, wanted_item = uid[term < 0], -1 - term[term < 0]
+        docs = np.unique(wanted if exact else uid)
+        good = (term >= 0) & np.isin(uid, docs)
+        term, uid, impact = term[good], uid[good], impact[good]
+        if not len(term):
+            return
+        order = np.argsort(term, kind="stable")
+        term, doc, impact = term[order], np.searchsorted(docs, uid[order]), impact[order]
+        step = max(1, (4 << 20) // len(docs))
+        for first in range(0, len(asked.terms), step):
+            items = range(first, min(first + step, len(asked.terms)))
+            sums, seen = _sums(asked, term, doc, impact, len(docs), items, not exact)
+            if exact:
+                mine = (wanted_item >= first) & (wanted_item < items.stop)
+                item, at = wanted_item[mine], np.searchsorted(docs, wanted[mine])
+                score = sums[item - first, at]
+                order = np.lexsort((docs[at], -score, item))
+                item, at, score = item[order], at[order], score[order]
+                best = (np.arange(len(item)) - np.searchsorted(item, item) < k) & (score > 0)
+                item, at, score = item[best], at[best], score[best]
+                upper = score
+            else:
+                here = slice(first, items.stop)
+                most = sums + (asked.terms[here, None] - seen) * (asked.threshold[here, None] - 1)
+                item, at = np.nonzero((seen > 0) & (most >= asked.bound[here, None]))
+                score, upper, item = sums[item, at], most[item, at], item + first
+            yield pa.RecordBatch.from_arrays([pa.array(item.astype(np.int64)), pa.array(docs[at]), pa.array(score), pa.array(upper)], ["item", "uid", "s", "upper"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            at = batch.column("bucket").to_numpy()
+            edges = np.flatnonzero(np.diff(at, prepend=-1, append=-1))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if held and at[a] != now:
+                    yield from bucket(held)
+                    held = []
+                now = at[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from bucket(held)
+
+    return run
+
+
+def _heads(index: Index, wanted: DataFrame, k: int) -> DataFrame:
+    """item, terms, bound: from the lists' heads, the first k of each segment's first part, the k-th highest sum or 0."""
     order = Window.partitionBy("term").orderBy(F.desc("impact"), "uid")
-    heads = _postings(asked.where(F.col("part") == 0).select("term", F.slice("uids", 1, k).alias("uids"), F.slice("impacts", 1, k).alias("impacts")))
-    heads = heads.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
-    sums = heads.join(wanted, "term").groupBy("item", "uid").agg(F.sum(worth).alias("s"))
-    # An impact below `least` is worth less than bound / terms.
+    first = index.lists.where(F.col("part") == 0).join(wanted.select("term").distinct(), "term", "left_semi")
+    heads = first.select("term", F.explode(F.arrays_zip(F.slice("uids", 1, k).alias("uids"), F.slice("impacts", 1, k).alias("impacts"))).alias("p"))
+    heads = heads.select("term", F.col("p.uids").alias("uid"), F.col("p.impacts").alias("impact")).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
+    sums = heads.join(wanted, "term").groupBy("item", "uid").agg(F.sum(F.col("w") * F.col("impact")).alias("s"))
     size = wanted.groupBy("item").agg(F.count(F.lit(1)).alias("terms"))
-    uniform = size.join(kth(sums, k), "item", "left").select("item", "terms", F.greatest(F.expr("(coalesce(bound, 0) + terms - 1) div terms"), F.lit(1)).alias("threshold"))
-    limits = materialize(wanted.join(uniform, "item").withColumn("least", F.expr("(threshold + w - 1) div w")), "limits")
-
-    # Two: of each list what some item's threshold asks for, then what each item's does.
-    least = limits.groupBy("term").agg(F.min("least").alias("least"))
-    deep = _postings(asked.join(least, "term").where(F.col("most") >= F.col("least")).drop("least")).join(least, "term").where(F.col("impact") >= F.col("least")).drop("least")
-    met = deep.join(limits, "term").where(F.col("impact") >= F.col("least"))
-    seen = materialize(met.groupBy("item", "uid").agg(F.sum(worth).alias("s"), F.count(F.lit(1)).alias("lists"), F.first("terms").alias("terms"), F.first("threshold").alias("threshold")), "seen")
-    upper = F.col("s") + (F.col("terms") - F.col("lists")) * (F.col("threshold") - 1)
-    near = materialize(seen.join(kth(seen, k), "item", "left").where(upper >= F.coalesce("bound", F.lit(0))).select("item", "uid"), "near")
-
-    # Three: all postings of the documents that are left.
-    known = _postings(asked).join(near.select("uid").distinct(), "uid", "left_semi")
-    exact = known.join(near, "uid").join(wanted, ["item", "term"]).groupBy("item", "uid").agg(F.sum(worth).cast("long").alias("score")).where(F.col("score") > 0)
+    return size.join(kth(sums, k), "item", "left").select("item", "terms", F.coalesce("bound", F.lit(0)).alias("bound"))
+
+
+def _asked(wanted: list, limits: list) -> tuple[Asked, dict[str, int], dict[str, int]]:
+    """The arrays of a block, terms' numbers, and the least impact of each term that some item asks for."""
+    by_item = {r["item"]: (r["terms"], max(1, -(-r["bound"] // r["terms"])), r["bound"]) for r in limits}
+    terms, threshold, bound = np.array([by_item[i] for i in range(len(by_item))], np.int64).T
+    rows = sorted((r["term"], r["item"], r["w"]) for r in wanted)
+    numbers = {t: k for k, t in enumerate(dict.fromkeys(t for t, _, _ in rows))}
+    term, item, w = (np.array(x, np.int64) for x in ([numbers[t] for t, _, _ in rows], [i for _, i, _ in rows], [x for _, _, x in rows]))
+    least = -(-threshold[item] // w)
+    lowest: dict[str, int] = {}
+    for (t, _, _), x in zip(rows, least.tolist(), strict=True):
+        lowest[t] = min(x, lowest.get(t, x))
+    return Asked(np.searchsorted(term, np.arange(len(numbers) + 1)), item, w, least, terms, threshold, bound), numbers, lowest
+
+
+def _block_of(index: Index, wanted: DataFrame, k: int, buckets: int) -> DataFrame:
+    """item, uid, score, rank for a block of items, numbered from 0."""
+    asked, numbers, lowest = _asked(wanted.collect(), _heads(index, wanted, k).collect())  # a block's items and their terms
+    mine = index.lists.join(wanted.select("term").distinct(), "term", "left_semi")
+    met = lambda rows, a, exact: rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_added(a, k, exact), "item long, uid long, s long, upper long")
+
+    # Parts of a list whose greatest impact is too low for every item aren't fetched.
+    lowest_of = wanted.sparkSession.createDataFrame(list(lowest.items()), "term string, least long")
+    deep = mine.join(lowest_of, "term").where(F.col("most") >= F.col("least"))
+    seen = materialize(met(deep.select("term", "uids", "impacts").mapInArrow(_dealt(lowest, numbers, buckets), DEALT), asked, False), "seen")
+    near = seen.join(kth(seen, k), "item", "left").where(F.col("upper") >= F.coalesce("bound", F.lit(0)))
+
+    known = mine.select("term", "uids", "impacts").mapInArrow(_dealt(None, numbers, buckets), DEALT)
+    exact = met(known.union(near.select("item", "uid").mapInArrow(_candidates(buckets), DEALT)), asked._replace(least=np.zeros_like(asked.least)), True)
     place = Window.partitionBy("item").orderBy(F.desc("score"), "uid")
-    best = exact.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
-    return best.join(index.rows, "uid").select("item.item_id", "rank", "doc_id", "score")
+    return exact.select("item", "uid", F.col("s").alias("score")).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+
+
+def search(index: Index, items: DataFrame, k: int = K, id_col: str = "item_id", text_col: str = "text", block: int = ITEMS) -> DataFrame:
+    """item_id, rank, doc_id, score: each item's k documents with the highest scores above 0."""
+    wanted = materialize(item_terms(items, index, id_col, text_col), "items")
+    known = materialize(numbered(wanted.select("item").distinct(), [F.asc("item")], "number"), "numbers")
+    wanted = materialize(wanted.join(known, "item").select((F.col("number") - 1).alias("number"), "term", "w"), "terms-of-items")
+    postings = index.lists.agg(F.coalesce(F.sum(F.size("uids")), F.lit(0))).first()[0]
+    buckets = max(partitions(items.sparkSession), -(-postings // PER_BUCKET))
+    out = wanted.limit(0).select(F.lit(0).cast("long").alias("uid"), F.lit(0).cast("long").alias("score"), F.lit(1).alias("rank"), "number")
+    for b in range(-(-known.count() // block)):
+        mine = wanted.where(F.floor(F.col("number") / block) == b).select((F.col("number") - b * block).alias("item"), "term", "w")
+        out = out.union(_block_of(index, mine, k, buckets).select("uid", "score", "rank", (F.col("item") + b * block + 1).alias("number")))
+    return out.join(known, "number").join(index.rows, "uid").select("item.item_id", "rank", "doc_id", "score")
 
 
 def oracle(k: int = K) -> str:

@@ -61,7 +61,7 @@ def test_odd_rows(spark, k, part):
     items = [(1, None), (2, ""), (3, "nowhere"), (4, "w7"), (5, "W7 w7 éa ÉA"), (5, "k2"), (None, "hot w59"), (None, "w3"), (7, text(300)), (8, "w1"), (9, "w1 w1 zzz")]
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id long, text string, score int, term string").repartition(3)
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, rank int")
-    search = lambda d, b: sorted(map(tuple, lexical.search(lexical.build(d, b if part > 1 else None, tasks=part, part=part), b, k).collect()), key=repr)
+    search = lambda d, b: sorted(map(tuple, lexical.search(lexical.build(d, b if part > 1 else None, tasks=part, part=part), b, k, block=3 if k == 3 else 512).collect()), key=repr)
     assert search(df, bench) == brute(docs, items, k)
     assert search(df.limit(0), bench) == [] and search(df, bench.limit(0)) == []
 
