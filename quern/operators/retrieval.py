@@ -90,50 +90,11 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 30, k1: float = K1, b:
     return top(held, k, "item_id", F.desc("score"), "pid")
 
 
-def dense_top_k(vectors: DataFrame, is_query: Column, k: int, shard: int = 16384, block: int = 1024) -> DataFrame:
-    """query_id, vec_id, score, rank by inner product, without the query itself: queries in blocks against shards."""
-    spark = vectors.sparkSession
-    rows = vectors.where(F.col("embedding").isNotNull()).select("vec_id", "embedding")
-    n, asked = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-asked // block))
-    base = rows.select("vec_id", "embedding", F.lit(False).alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    ask = rows.where(is_query).select("vec_id", "embedding", F.lit(True).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("s"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("b"))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held = None, []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held).combine_chunks()
-            if not rows.num_rows:
-                return
-            ids, is_q = rows["vec_id"].to_numpy(), rows["q"].combine_chunks().to_numpy(zero_copy_only=False)
-            if not is_q.any() or is_q.all():
-                return
-            made = rows["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-            asked, own = ids[is_q], ids[~is_q]
-            scores = np.round(made[is_q] @ made[~is_q].T, 6)
-            scores[asked[:, None] == own[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
-            best = np.take_along_axis(scores, order, axis=1)
-            good = np.isfinite(best)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, good.sum(axis=1))), pa.array(own[order][good]), pa.array(best[good])], ["query_id", "vec_id", "score"])
+def dense_top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
+    """query_id, vec_id, score, rank by inner product, without the query itself."""
+    from quern.operators.vector_index import top_k
 
-        for batch in batches:
-            at = np.stack([batch.column(c).to_numpy() for c in ("s", "b")], axis=1)
-            edges = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(at)]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if a < b:
-                    if (now := tuple(at[a].tolist())) != cell:
-                        if held:
-                            yield from flush()
-                        cell, held = now, []
-                    held.append(batch.slice(a, b - a))
-        if held:
-            yield from flush()
-
-    parts = base.union(ask).repartition(min(shards * blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "s", "b").sortWithinPartitions("s", "b")
-    found = parts.mapInArrow(search, "query_id long, vec_id long, score double")
-    return top(found, k, "query_id", F.desc("score"), "vec_id")
+    return top_k(vectors, is_query, k)
 
 
 def sparse_scores(passages: DataFrame, queries: DataFrame) -> DataFrame:

@@ -235,3 +235,28 @@ def test_a_replayed_stream_gives_the_same_groups(spark, tmp_path):
         curate(spark, f"{tmp_path}/in", schema, f"{tmp_path}/out", f"{tmp_path}/{run}").awaitTermination(120)
         held.append(sorted((r["context"], tuple(r["prompts"])) for r in spark.read.parquet(f"{tmp_path}/out").collect()))
     assert held[0] == held[1] == [("c0", ("p0", "q0")), ("c0", ("p2", "q2")), ("c1", ("p1", "q1"))]
+
+
+@pytest.mark.parametrize("cells,part", [(1, 10**6), (7, 10**6), (12, 20)])
+def test_vector_search_equals_all_products(spark, cells, part, monkeypatch):
+    from quern.operators import vector_index as V
+
+    monkeypatch.setattr(V, "PART", part)
+    rng = np.random.default_rng(cells)
+    centres = rng.normal(size=(6, 8))
+    x = np.concatenate([centres[i % 6] + 0.2 * rng.normal(size=8) for i in range(240)] + [np.tile(centres[0], 40)]).reshape(-1, 8)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    index = V.build(df, cells)
+    asked = df.where("embedding IS NOT NULL AND vec_id % 7 = 0 OR vec_id = 901").select(F.col("vec_id").alias("id"), "embedding")
+    held = {i: np.array(v) for i, v in rows if v is not None}
+    for k in (1, 5, 500):
+        got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in V.search(index, asked, k)[0].collect())
+        want = []
+        for q in (i for i in held if i % 7 == 0 or i == 901):
+            order = sorted((i for i in held if i != q), key=lambda i: (-np.round(held[q] @ held[i], 6), i))[:k]
+            want += [(q, r + 1, i) for r, i in enumerate(order)]
+        assert got == sorted(want)
+    if cells == 7:
+        assert V.visited(df, F.col("vec_id") % 7 == 0, 5, 7) < 0.6  # far cells aren't read
+    assert V.top_k(df.limit(0), F.lit(True), 3).count() == 0
