@@ -48,6 +48,18 @@ def roundtrip_csv(t: Tables) -> DataFrame:
     return R.read_any(t.spark, path).select("event_id", "event_type")
 
 
+@query("roundtrip_csv_text", "SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1, 0, 'quoted', 'a \"b\", ' || chr(10) || ' c' UNION ALL SELECT -2, 0, '', NULL")
+def roundtrip_csv_text(t: Tables) -> DataFrame:
+    """Texts with quotes, separators and line ends, empty ones and nulls, through a CSV file."""
+    path = f"{scratch(t.spark, 'texts')}.csv"
+    kind = t.conversations.schema
+    odd = t.spark.range(2).select(
+        (-F.col("id") - 1).alias("conv_id"), F.lit(0).alias("turn"), F.when(F.col("id") == 0, "quoted").otherwise("").alias("role"), F.when(F.col("id") == 0, 'a "b", \n c').alias("text")
+    )
+    S.write_csv(t.conversations.select("conv_id", "turn", "role", "text").union(odd.select("conv_id", F.col("turn").cast(kind["turn"].dataType), "role", "text")), path)
+    return S.read_csv(t.spark, path, f"conv_id long, turn {kind['turn'].dataType.simpleString()}, role string, text string")
+
+
 @query("roundtrip_csv_upsert", "SELECT source AS tasks, CASE WHEN source < 's' THEN '0' ELSE CAST(count(*) AS VARCHAR) END AS n FROM documents WHERE source IS NOT NULL GROUP BY source")
 def roundtrip_csv_upsert(t: Tables) -> DataFrame:
     """A report file whose rows of equal tasks are replaced by the second batch."""
@@ -85,17 +97,27 @@ def registry_scan(t: Tables) -> DataFrame:
     return registry.read(t.spark, "corpus", "train", "doc_id").select("doc_id")
 
 
-@query("generated_registry", "SELECT lo, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest([0, 1000]) AS lo, doc_id, n_chars FROM documents) WHERE n_chars >= lo AND n_chars < lo + 1000 GROUP BY lo")
+@query(
+    "generated_registry",
+    "SELECT name, split, lo, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE doc_id % 2 WHEN 0 THEN 'toy' ELSE 'copy' END AS name, CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 8 THEN 'validation' ELSE 'test' END AS split, unnest([0, 1000, 2000]) AS lo, n_chars FROM documents) WHERE n_chars >= lo AND (n_chars < lo + 1000 OR lo = 2000) GROUP BY name, split, lo",
+)
 def generated_registry(t: Tables) -> DataFrame:
-    """Entries made for a name and its length bins, each read from its own JSON lines."""
-    root, bins = scratch(t.spark, "toy"), [(0, 1000), (1000, 2000)]
+    """Entries made for names, splits and length bins, all written in one pass and each read from its own JSON lines."""
+    root, bins = scratch(t.spark, "toy"), [(0, 1000), (1000, 2000), (2000, 1 << 40)]
     registry = R.Registry()
-    registry.add_generated(["toy"], bins, f"{root}/{{name}}_{{lo}}_{{hi}}_{{split}}.jsonl")
-    parts = []
-    for lo, hi in bins:
-        S.write_jsonl(t.documents.where((F.col("n_chars") >= lo) & (F.col("n_chars") < hi)), registry.entries[f"toy_{lo}_{hi}"]["train"][0])
-        parts.append(registry.read(t.spark, f"toy_{lo}_{hi}", "train", "doc_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(lo).alias("lo"), "n"))
-    return parts[0].union(parts[1]).where("n > 0")
+    registry.add_generated(["toy", "copy"], bins, f"{root}/name={{name}}/split={{split}}/lo={{lo}}")
+    docs = t.documents.select(
+        "doc_id", F.when(F.col("doc_id") % 2 == 0, "toy").otherwise("copy").alias("name"), F.when(F.col("doc_id") % 10 < 7, "train").when(F.col("doc_id") % 10 < 8, "validation").otherwise("test").alias("split"),
+        F.when(F.col("n_chars") < 1000, 0).when(F.col("n_chars") < 2000, 1000).otherwise(2000).alias("lo"),
+    )
+    docs.where("n_chars IS NOT NULL").write.partitionBy("name", "split", "lo").json(root)
+    out = None
+    for entry, splits in registry.entries.items():
+        name, lo, _ = entry.split("_")
+        for split, (path, _) in splits.items():
+            part = R.read_json_folder(t.spark, path, "doc_id long").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), F.lit(split).alias("split"), F.lit(int(lo)).alias("lo"), "n")
+            out = part if out is None else out.union(part)
+    return out.where("n > 0")
 
 
 @query("shard_scan", "SELECT doc_id, source FROM documents")

@@ -26,6 +26,13 @@ def read_any(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return reader.option("header", True).csv(path) if path.endswith(".csv") else reader.parquet(path)
 
 
+def read_json_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A folder of JSON lines; one that was never written has no rows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(schema).json(path) if there else spark.createDataFrame([], schema)
+
+
 def parse_slice(split: str) -> tuple[str, int, int | None]:
     """`train[100:600]` to (train, 100, 600); either bound may be absent."""
     m = re.fullmatch(r"(\w+)(?:\[(\d*):(\d*)\])?", split)

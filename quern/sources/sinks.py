@@ -6,7 +6,7 @@ import hashlib
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.grouping import last_wins, upsert
@@ -32,6 +32,22 @@ def write_documents(summary: DataFrame, records: DataFrame, path: str) -> None:
     line(summary, "summary").union(line(records, "record")).write.mode("overwrite").text(path)
 
 
+#: How text is kept whole in CSV: quotes are doubled, line ends stay inside quotes, nulls differ from empty strings.
+CSV = {"header": True, "quote": '"', "escape": '"', "nullValue": "\\N", "emptyValue": "", "multiLine": True, "lineSep": "\n"}
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A CSV from which any string comes back as it was, but for carriage returns before line ends."""
+    options = {k: v for k, v in CSV.items() if k != "multiLine"}
+    df.write.mode("overwrite").options(**options, quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """What write_csv() wrote: strings, or columns of a schema."""
+    reader = spark.read.options(**{k: v for k, v in CSV.items() if k != "lineSep"}, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return (reader.schema(schema) if schema else reader).csv(path)
+
+
 def upsert_csv(new: DataFrame, path: str, key: str = "tasks") -> None:
     """Replaces rows of equal keys, appends the rest, ordered by key. The merge is written elsewhere before it replaces the old."""
     spark = new.sparkSession
