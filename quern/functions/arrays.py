@@ -84,6 +84,14 @@ def max_pool(vectors: Column) -> Column:
     return F.transform(F.element_at(vectors, 1), lambda _, k: F.array_max(F.transform(vectors, lambda v: F.element_at(v, k + 1))))
 
 
+def pooled(vectors: Column, kind: str) -> Column:
+    """One vector of several token vectors: `mean`, `max`, `last` or `cls`, the first; another kind raises."""
+    kinds = {"mean": mean_pool, "max": max_pool, "last": lambda v: F.element_at(v, -1), "cls": lambda v: F.element_at(v, 1)}
+    if kind not in kinds:
+        raise ValueError(f"no pooling: {kind}; known are {', '.join(kinds)}")
+    return F.transform(kinds[kind](vectors), lambda x: x.cast("double"))
+
+
 def max_sim(query: Column, passage: Column) -> Column:
     """Late interaction: each query vector's best passage vector, summed."""
     return F.aggregate(query, F.lit(0.0), lambda s, q: s + F.array_max(F.transform(passage, lambda p: dot(q, p))))

@@ -22,6 +22,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 CHUNKS = 1 << 20
 #: Query postings that may go to every task: about 40 MB with their words.
 POSTINGS = 500_000
+#: Cells of the matrix of query terms and queries: about 160 MB.
+WEIGHTS = 20_000_000
 
 
 def chunk_table(docs: DataFrame, size: int = 480, overlap: int = 80, cap: int | None = None) -> DataFrame:
@@ -43,15 +45,17 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 30, k1: float = K1, b:
     half of the chunks gets epsilon times the mean idf. Where the queries have at most `most` postings they go to every
     task, which scores its chunks by matrix products and keeps the k best of each query; beyond that postings are joined.
     """
-    words = chunks.select(F.explode(F.array_distinct(F.transform("tok", F.lower))).alias("term"))
-    stats = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tok")).alias("avgdl"))  # one row
-    idf = words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats)).select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    idf = stable(idf)
+    # One pass: the row of the null term counts every chunk and adds up its tokens.
+    words = chunks.select(F.size("tok").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct(F.transform("tok", F.lower)))).alias("term"))
+    counts = stable(words.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dl")))
+    stats = counts.where(F.col("term").isNull()).select(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))  # one row
+    idf = counts.where(F.col("term").isNotNull()).crossJoin(F.broadcast(stats)).select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     mean = idf.agg(F.avg("idf").alias("mean"))  # one row
     asked = queries.select("item_id", F.explode(F.transform("tok", F.lower)).alias("term")).groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     terms = asked.join(idf, "term").crossJoin(F.broadcast(mean)).withColumn("w", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")))
     terms = stable(terms.select("item_id", "term", "avgdl", (F.col("w") * F.col("qtf")).alias("w")))
-    if terms.count() > most:
+    size = terms.agg(F.count(F.lit(1)), F.count_distinct("term"), F.count_distinct("item_id")).first()
+    if size[0] > most or size[1] * size[2] > WEIGHTS:
         postings = chunks.select("pid", F.size("tok").alias("dl"), F.explode(F.transform("tok", F.lower)).alias("term")).groupBy("term", "pid").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
         hit = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
         scored = terms.join(postings, "term").groupBy("item_id", "pid").agg(F.round(F.sum(hit), 6).alias("score"))

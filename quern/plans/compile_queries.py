@@ -12,7 +12,7 @@ from quern.operators import grouping as G
 from quern.operators import preprocess as D
 from quern.operators import retrieval as R
 from quern.plans.registry import Tables, h8, hkey, query, quoted, tokens
-from quern.plans.retrieval_queries import _BM25_SQL, _hits
+from quern.plans.retrieval_queries import _BM25_SQL, _hits, _with_chunks
 from quern.plans.text_queries import QA_SQL, qa
 
 #: Ids of the turn markers, above those of words: begin, end, user, assistant, line end.
@@ -325,8 +325,7 @@ def unit_vectors(t: Tables) -> DataFrame:
 )
 def rerank_by_overlap(t: Tables) -> DataFrame:
     """Candidates of the first stage scored again pair by pair; here the scorer is the share of the query's words in the passage."""
-    chunks, hits = _hits(t)
-    pairs = hits.select("item_id", "pid", F.col("rank").alias("first_rank")).join(chunks.select("pid", F.transform("tok", F.lower).alias("passage")), "pid")
+    pairs = _with_chunks(t, _hits(t)[1]).select("item_id", "pid", F.col("rank").alias("first_rank"), F.transform("tok", F.lower).alias("passage"))
     pairs = pairs.join(t.benchmark.select("item_id", F.array_distinct(X.lower_tokens(F.col("text"))).alias("query")), "item_id")
     return R.rerank(pairs, lambda q, p: F.size(F.array_intersect(q, p)) / F.greatest(F.size(q), F.lit(1)), 10).select("item_id", "pid", "score", "rank")
 

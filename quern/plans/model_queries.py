@@ -12,7 +12,7 @@ from quern.functions.encoders import bridge_phrases, encode
 from quern.operators import retrieval as R
 from quern.operators.storage import stable
 from quern.plans.registry import Tables, query, quoted
-from quern.plans.retrieval_queries import _SPARSE_SQL, _hits, _sparse_index
+from quern.plans.retrieval_queries import _SPARSE_SQL, _hits, _sparse_index, _with_chunks
 from quern.plans.text_queries import qa
 
 
@@ -25,10 +25,7 @@ def rouge_l_stemmed(t: Tables) -> DataFrame:
 @query("sentence_cosine_top2")
 def sentence_cosine_top2(t: Tables) -> DataFrame:
     """Of each of the two best chunks the two sentences nearest to the query by cosine, nearest first."""
-    chunks, hits = _hits(t)
-    near = stable(hits.where("rank <= 2").select("item_id", "pid", "rank"))
-    of_docs = chunks.join(near.select(F.floor(F.col("pid") / R.CHUNKS).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = near.join(of_docs.select("pid", F.array_join("tok", " ").alias("passage")), "pid")
+    texts = _with_chunks(t, _hits(t)[1].where("rank <= 2")).select("item_id", "pid", "rank", F.array_join("tok", " ").alias("passage"))
     found = X.sentences(F.col("passage"))
     split = texts.select("item_id", "pid", "rank", F.posexplode(F.when(F.size(found) > 0, found).otherwise(F.array("passage"))).alias("at", "s"))
     # A sentence is encoded once, however many queries ask for it.

@@ -54,12 +54,18 @@ _REL_SQL = f"""{_BM25_SQL}, gold AS (SELECT item_id, list_filter(list_transform(
 rel AS (SELECT h.item_id, h.rank, h.pid, len(list_filter(g.lines, lambda l: contains(lower(array_to_string(c.tok, ' ')), l))) > 0 AS rel, c.tok FROM hits h JOIN chunks c USING (pid) JOIN gold g USING (item_id))"""
 
 
+def _with_chunks(t: Tables, hits: DataFrame) -> DataFrame:
+    """Hits with their chunks' tokens: only documents that were hit are cut again."""
+    hits = stable(hits)
+    docs = t.documents.join(hits.select(F.floor(F.col("pid") / R.CHUNKS).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return hits.join(R.chunk_table(docs).select("pid", "tok"), "pid")
+
+
 def _relevant(t: Tables) -> DataFrame:
     """Hits with whether a gold line (a benchmark passage's line) is a substring of the chunk, case ignored."""
-    chunks, hits = _hits(t)
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.array_join(X.lower_tokens(x), " ")), lambda x: x != "")
     text = F.lower(F.array_join("tok", " "))
-    joined = hits.join(chunks.select("pid", "tok"), "pid").join(t.benchmark.select("item_id", lines.alias("lines"), F.col("text").alias("gold")), "item_id")
+    joined = _with_chunks(t, _hits(t)[1]).join(t.benchmark.select("item_id", lines.alias("lines"), F.col("text").alias("gold")), "item_id")
     # The chunk's text is the outer lambda's, so that it is joined once.
     return joined.withColumn("rel", F.exists(F.array(text), lambda c: F.exists("lines", lambda x: F.contains(c, x))))
 
@@ -78,8 +84,7 @@ def recall_mrr_at_k(t: Tables) -> DataFrame:
     f"WITH {_REL_SQL}, p AS (SELECT r.item_id, r.rank, {tokens(norm_a("array_to_string(tok, ' ')"))} AS tp, {tokens(norm_a('text'))} AS tg FROM rel r JOIN benchmark USING (item_id) WHERE rank <= 10), s AS (SELECT item_id, rank, tp, tg, {multiset('tp', 'tg')} AS c FROM p) SELECT item_id, round(max({f1('c', 'len(tp)', 'len(tg)')}), 6) AS f1_at_10 FROM s GROUP BY item_id",
 )
 def best_passage_f1(t: Tables) -> DataFrame:
-    chunks, hits = _hits(t)
-    joined = hits.where("rank <= 10").join(chunks.select("pid", "tok"), "pid").join(t.benchmark.select("item_id", "text"), "item_id")
+    joined = _with_chunks(t, _hits(t)[1].where("rank <= 10")).join(t.benchmark.select("item_id", "text"), "item_id")
     return joined.groupBy("item_id").agg(F.round(F.max(token_f1(F.array_join("tok", " "), F.col("text"))), 6).alias("f1_at_10"))
 
 
@@ -255,8 +260,7 @@ def sentence_top2(t: Tables) -> DataFrame:
     """Of each of the two best chunks the two sentences that share most words with the query, best first."""
     from quern.functions.metrics import common_tokens
 
-    chunks, hits = _hits(t)
-    rows = hits.where("rank <= 2").join(chunks.select("pid", "tok"), "pid").join(t.benchmark.select("item_id", X.lower_tokens(F.col("text")).alias("q")), "item_id")
+    rows = _with_chunks(t, _hits(t)[1].where("rank <= 2")).join(t.benchmark.select("item_id", X.lower_tokens(F.col("text")).alias("q")), "item_id")
     s = rows.select("item_id", "pid", "rank", "q", F.explode(X.sentences(F.array_join("tok", " "))).alias("s"))
     s = s.withColumn("hit", common_tokens(X.lower_tokens(F.col("s")), F.col("q")))
     best = s.withColumn("k", F.row_number().over(Window.partitionBy("item_id", "pid").orderBy(F.desc("hit"), "s"))).where("k <= 2")

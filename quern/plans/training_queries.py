@@ -226,8 +226,26 @@ def prompt_fits(t: Tables) -> DataFrame:
     return _tok(t).select("doc_id", fits.alias("fits"), F.when(~fits, "context_too_long").otherwise("ok").alias("status"))
 
 
+KINDS = ("mean", "max", "last", "cls")
+
+
 @query("pooling", "WITH p AS (SELECT vec_id // 8 AS pid, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS k, vec_id FROM embeddings) SELECT pid, CAST(k - 1 AS INTEGER) AS k, round(avg(CAST(x AS DOUBLE)), 6) AS mean, max(x) AS peak, arg_max(x, vec_id) AS last, arg_min(x, vec_id) AS cls FROM p GROUP BY pid, k")
 def pooling(t: Tables) -> DataFrame:
     """Mean, maximum, last and first vector of each passage of eight, by component."""
     p = t.embeddings.select(F.floor(F.col("vec_id") / 8).cast("long").alias("pid"), "vec_id", F.posexplode("embedding").alias("k", "x"))
     return p.groupBy("pid", "k").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"), F.max("x").alias("peak"), F.max_by("x", "vec_id").alias("last"), F.min_by("x", "vec_id").alias("cls"))
+
+
+@query(
+    "pooling_by_kind",
+    """WITH p AS (SELECT vec_id // 8 AS pid, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS k, vec_id FROM embeddings),
+a AS (SELECT pid, k, round(avg(CAST(x AS DOUBLE)), 6) AS mean, round(CAST(max(x) AS DOUBLE), 6) AS max, round(CAST(arg_max(x, vec_id) AS DOUBLE), 6) AS last, round(CAST(arg_min(x, vec_id) AS DOUBLE), 6) AS cls FROM p GROUP BY pid, k),
+u AS (UNPIVOT a ON mean, max, last, cls INTO NAME kind VALUE x)
+SELECT pid, kind, list(x ORDER BY k) AS vector FROM u GROUP BY pid, kind""",
+)
+def pooling_by_kind(t: Tables) -> DataFrame:
+    """The same passages pooled by a chosen kind."""
+    vecs = F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"])
+    made = t.embeddings.groupBy(F.floor(F.col("vec_id") / 8).cast("long").alias("pid")).agg(vecs.alias("v"))
+    kinds = F.explode(F.map_from_arrays(F.array(*map(F.lit, KINDS)), F.array(*(A.pooled(F.col("v"), k) for k in KINDS)))).alias("kind", "vector")
+    return made.select("pid", kinds).select("pid", "kind", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
