@@ -42,6 +42,9 @@ _ODD_SPACE = re.compile("[^\t-\r -~\xa1-\u024f]")
 #: A match of the pre-tokeniser looks at most so many bytes past its start before it has settled ('re, 've, 'll).
 _AHEAD = 12
 _WHITE = frozenset(b"\t\n\x0b\x0c\r ")
+#: What a vocabulary file must say for the shortcuts of this module to hold: how it normalises and where it splits.
+_NORMALISES = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLITS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _encoders: dict = {}
 
 
@@ -71,6 +74,9 @@ class TreeEncoder:
         self.plain.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        if (spec.get("normalizer") or {}).get("normalizers") != _NORMALISES or (steps[0].get("pattern") or {}).get("Regex") != _SPLITS:
+            raise ValueError(f"{path} normalises or splits texts in a way that this encoder doesn't know")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.splitter = re.compile("|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) or "(?!)")
         from tokenizers.normalizers import Sequence

@@ -88,6 +88,13 @@ def test_bpe_equals_the_library():
         assert enc.encode_batch([text])[0] == lib.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_refuses_vocabularies_it_does_not_know():
+    from quern.llm.bpe import TreeEncoder, vocabulary_path
+
+    with pytest.raises(ValueError, match="doesn't know"):
+        TreeEncoder(vocabulary_path("byte_bpe_50k.json"))
+
+
 def test_bpe_digest(spark):
     from quern.llm.bpe import encode_digest, encode_texts, encoder
 
