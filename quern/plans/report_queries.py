@@ -101,3 +101,19 @@ def revenue_by_nation(t: Tables) -> DataFrame:
     """An extension beyond the reference: a star join with AQE choosing the joins."""
     j = t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey")).join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return j.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.countDistinct("o_orderkey").alias("orders"))
+
+
+@query(
+    "tracked_stages",
+    """SELECT 'scan' AS name, CAST(count(*) AS BIGINT) AS calls, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT count(*) AS rows, sum(strlen(text)) AS bytes FROM documents)
+UNION ALL SELECT 'filter', CAST(count(*) AS BIGINT), CAST(sum(rows) AS BIGINT), CAST(sum(bytes) AS BIGINT) FROM (SELECT count(*) AS rows, coalesce(sum(strlen(text)), 0) AS bytes FROM documents WHERE lang = 'de' UNION ALL SELECT count(*), coalesce(sum(strlen(text)), 0) FROM documents WHERE n_chars >= 1000)""",
+)
+def tracked_stages(t: Tables) -> DataFrame:
+    """Stages run under the tracker, summed up by name: calls, rows and bytes that passed by."""
+    from quern.operators.instrument import Tracker
+
+    tracker, run = Tracker(), lambda df: df.write.format("noop").mode("overwrite").save()
+    tracker.run("scan", t.documents, run, "text")
+    for kept in ("lang = 'de'", "n_chars >= 1000"):
+        tracker.run("filter", t.documents.where(kept), run, "text")
+    return tracker.table(t.spark).groupBy("name").agg(F.count(F.lit(1)).alias("calls"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))

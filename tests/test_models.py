@@ -260,3 +260,31 @@ def test_vector_search_equals_all_products(spark, cells, part, monkeypatch):
     if cells == 7:
         assert V.visited(df, F.col("vec_id") % 7 == 0, 5, 7) < 0.6  # far cells aren't read
     assert V.top_k(df.limit(0), F.lit(True), 3).count() == 0
+
+
+def test_tracker(spark):
+    from quern.operators.instrument import Tracker
+    from quern.operators.reporting import nine_stats
+
+    ticks = iter(range(100))
+    tracker = Tracker(lambda: float(next(ticks)))
+    assert tracker.run("read", spark.createDataFrame([("é",), (None,)], "t string"), lambda d: d.count(), "t") == 2
+
+    class Model:
+        def step(self, n):
+            return self.step(n - 1) if n else "done"
+
+        def fail(self):
+            raise ValueError
+
+    for _ in range(2):
+        tracker.wrap(Model, "step", "steps")
+        tracker.wrap(Model, "fail")
+    assert Model().step(3) == Model().step(0) == "done"
+    with pytest.raises(ValueError):
+        Model().fail()
+    tracker.unwrap(Model, "step")
+    Model().step(1)
+    assert tracker.records == [("read", 0, 1.0, 2, 2), ("steps", 0, 1.0, None, None), ("steps", 1, 1.0, None, None), ("fail", 0, 1.0, None, None)]
+    stats = {r["name"]: (r["count"], r["total"]) for r in nine_stats(tracker.table(spark), "seconds", ["seq"], F.col("name")).collect()}
+    assert stats == {"read": (1, 1.0), "steps": (2, 2.0), "fail": (1, 1.0)}
