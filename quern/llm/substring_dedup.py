@@ -197,10 +197,9 @@ def shared_starts(classes: list[tuple[bytes, tuple, tuple[int, int]]], width: in
     out: list[list[tuple[int, int]]] = [[] for _ in classes]
     order = sorted(range(len(classes)), key=lambda i: classes[i][1])  # the joined texts are in the order of places
     place, text, start, common = suffix_order([classes[i][0] for i in order], width, [classes[i][2] for i in order])
-    if keep_first:
-        gone = longest_previous_factors(place, common, width) >= width
-    else:  # a neighbour in suffix order shares enough, whichever comes first
-        gone = (common >= width) | np.append(common[1:] >= width, False)[: len(common)]
+    gone = longest_previous_factors(place, common, width) >= width
+    if not keep_first:  # with places counted from the other end the same arrays say what is repeated later
+        gone |= longest_previous_factors(place.max(initial=0) - place, common, width) >= width
     place, text, start = (x[gone] for x in (place, text, start))
     if not len(place):
         return out
