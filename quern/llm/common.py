@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -36,8 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Tables of materialize() that were not released yet, in the order in which they were made.
-_made: list[DataFrame] = []
+#: Tables of materialize() that the run at hand has not released yet. Every thread and every finished() has its own list.
+_made: ContextVar[list[DataFrame] | None] = ContextVar("quern_tables", default=None)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -47,7 +48,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._quern_path = path
-    _made.append(back)
+    if (mine := _made.get()) is not None:
+        mine.append(back)
     spark._jvm.System.gc()  # shuffle files of plans that are done go once the driver finds nobody holds them
     return back
 
@@ -59,16 +61,23 @@ def release(df: DataFrame) -> None:
         spark = df.sparkSession
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-        _made[:] = [t for t in _made if t is not df]
+        if (mine := _made.get()) is not None:
+            mine[:] = [t for t in mine if t is not df]
 
 
 def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """What `make` returns, as a table of the shared folder; all other tables it left there are deleted."""
-    before = list(_made)
-    out = materialize(make(), name)
-    for t in list(_made):
-        if t is not out and not any(t is b for b in before):
-            release(t)
+    """What `make` returns, as a table of the shared folder; all other tables it left there are deleted, also if it fails."""
+    mine: list[DataFrame] = []
+    token, out = _made.set(mine), None
+    try:
+        out = materialize(make(), name)
+    finally:
+        _made.reset(token)
+        for t in mine:
+            if t is not out:
+                release(t)
+    if (outer := _made.get()) is not None:
+        outer.append(out)
     return out
 
 
