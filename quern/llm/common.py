@@ -111,6 +111,39 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bits of the filter that with_ids() and without_ids() send to every task: 512 rows of 4 KB at most, whatever there is.
+FILTER_BITS = 1 << 24
+
+
+def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """`rows` with __q_hit: false only where __q_uid is surely none of `ids`, by a bit for each hash of an id.
+
+    The filter's size is fixed, so it may be broadcast; the more ids there are, the more rows are hit by chance.
+    """
+    place = F.pmod(F.xxhash64("__q_uid"), F.lit(FILTER_BITS))
+    slot, bit = F.shiftright(place, 15).cast("int"), place.bitwiseAND(F.lit((1 << 15) - 1))
+    set_ = ids.select(slot.alias("__q_slot"), bit.alias("__q_bit")).repartition(partitions(rows.sparkSession), "__q_slot")
+    bits = set_.groupBy("__q_slot").agg(F.bitmap_construct_agg("__q_bit").alias("__q_bits"))
+    byte = F.conv(F.hex(F.substring("__q_bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    return rows.withColumn("__q_slot", slot).join(F.broadcast(bits), "__q_slot", "left").withColumn("__q_hit", hit).drop("__q_slot", "__q_bits")
+
+
+def with_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose __q_uid is in `ids` (a column __q_uid, each once); of the others few are shuffled.
+
+    An inner join, since Catalyst would move a semi-join below the filter, to all rows.
+    """
+    return _marked(rows, ids).where("__q_hit").drop("__q_hit").join(ids, "__q_uid")
+
+
+def without_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose __q_uid is not in `ids` (each once): most never meet them, the rest are joined exactly."""
+    marked = _marked(rows, ids)
+    met = marked.where("__q_hit").drop("__q_hit").join(ids.withColumn("__q_in", F.lit(True)), "__q_uid", "left").where(F.col("__q_in").isNull())
+    return marked.where(~F.col("__q_hit")).drop("__q_hit").unionByName(met.drop("__q_in"))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -53,3 +53,32 @@ def test_two_runs_at_once_keep_apart(spark):
     for df in found.values():
         release(df)
     assert held(spark) == before
+
+
+@pytest.mark.parametrize("bits", [1 << 24, 1 << 15, 1 << 4])
+def test_rows_by_ids_through_a_filter(spark, monkeypatch, bits):
+    """Exact for any filling of the filter, down to one in which every bit is set; for no ids, all ids and negative ones."""
+    from pyspark.sql import functions as F
+
+    from quern.llm import common as C
+
+    monkeypatch.setattr(C, "FILTER_BITS", bits)
+    rows = spark.range(-1500, 1500, 1, 4).select(F.col("id").alias("__q_uid"), F.concat(F.lit("t"), "id").alias("text"))
+    for keep in (F.lit(False), F.lit(True), F.pmod(F.col("__q_uid"), F.lit(7)) == 3):
+        ids = rows.where(keep).select("__q_uid")
+        want = {r["__q_uid"] for r in ids.collect()}
+        inside, outside = C.with_ids(rows, ids), C.without_ids(rows, ids)
+        assert inside.columns == outside.columns == rows.columns
+        inside, outside = [[tuple(r) for r in df.collect()] for df in (inside, outside)]
+        assert sorted(inside) == sorted((i, f"t{i}") for i in want)
+        assert sorted(outside) == sorted((i, f"t{i}") for i in range(-1500, 1500) if i not in want)
+
+
+def test_the_filter_rules_most_rows_out(spark):
+    from pyspark.sql import functions as F
+
+    from quern.llm.common import _marked
+
+    rows = spark.range(100000).select(F.col("id").alias("__q_uid"))
+    hit = {r["__q_uid"] for r in _marked(rows, rows.where("__q_uid % 100 = 0")).where("__q_hit").collect()}
+    assert set(range(0, 100000, 100)) <= hit and len(hit) < 1200
