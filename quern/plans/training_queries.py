@@ -248,4 +248,5 @@ def pooling_by_kind(t: Tables) -> DataFrame:
     vecs = F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"])
     made = t.embeddings.groupBy(F.floor(F.col("vec_id") / 8).cast("long").alias("pid")).agg(vecs.alias("v"))
     kinds = F.explode(F.map_from_arrays(F.array(*map(F.lit, KINDS)), F.array(*(A.pooled(F.col("v"), k) for k in KINDS)))).alias("kind", "vector")
-    return made.select("pid", kinds).select("pid", "kind", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+    # A negative number that rounds to nothing keeps its sign, as in the SQL.
+    return made.select("pid", kinds).select("pid", "kind", F.transform("vector", lambda x: F.when(x < 0, -F.round(-x, 6)).otherwise(F.round(x, 6))).alias("vector"))
