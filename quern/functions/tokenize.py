@@ -7,10 +7,12 @@ an id for each UTF-8 byte; file_tokenizer() takes any file of the tokenizers lib
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +24,7 @@ BLANKS = " \t\n\r"
 class Tokenizer(Protocol):
     special: dict[str, int]
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+    def encode_batch(self, texts: list[str]) -> list[tuple[Sequence[int], Sequence[int]]]:
         """Ids, and the character at which each begins."""
 
     def decode(self, ids: list[int]) -> str: ...
@@ -33,8 +35,10 @@ class ByteTokenizer:
 
     special = {BEGIN: 256, END: 257}
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        return [(list(t.encode()), [i for i, c in enumerate(t) for _ in c.encode()]) for t in texts]
+    def encode_batch(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        made = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+        # A byte that continues a character stands at that character.
+        return [(b, np.cumsum((b & 0xC0) != 0x80) - 1) for b in made]
 
     def decode(self, ids: list[int]) -> str:
         return bytes(ids).decode("utf-8", "replace")
@@ -76,33 +80,63 @@ def templated(turns: list[tuple[str, str]], generation: bool = True) -> list[tup
     return out + ([(True, BEGIN), (False, "assistant\n")] if generation else [])
 
 
+#: Characters of contents, or ids, that are worked on at once; a longer row is worked on alone.
+MOST = 1 << 20
+
+
+def _parts(sizes: list[int], most: int = MOST) -> Iterator[slice]:
+    """Ranges of rows whose sizes sum to about `most`, or of one row."""
+    begin = held = 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            yield slice(begin, i)
+            begin, held = i, 0
+        held += n
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32)))
+
+
 _IDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("starts", T.ArrayType(T.IntegerType()))])
 
 
 def tokenised(turns: Column, factory: Callable[[], Tokenizer] | None = None, generation: bool = True) -> Column:
     """ids and starts of conversations: arrays of (role, content) in the template, with the opening of an answer.
 
-    All texts of a batch are encoded together. Nulls: a null conversation has no ids but the opening's; a null content
-    is empty.
+    Texts are encoded together, about `MOST` characters at once, and handed on as Arrow arrays, so that a worker's memory
+    follows the longest conversation. Nulls: a null conversation has no ids but the opening's; a null content is empty.
     """
     make = factory or byte_tokenizer()
 
-    @F.pandas_udf(_IDS)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def encoded(tok: Tokenizer, part: list) -> pa.Array:
+        rows = [templated([(t["role"], t["content"]) for t in ([] if c is None else c)], generation) for c in part]
+        made = iter(tok.encode_batch([x for row in rows for marker, x in row if not marker]))
+        all_ids, all_starts = [], []
+        for row in rows:
+            ids, starts, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
+            for marker, x in row:
+                some, places = ([tok.special[x]], [0]) if marker else next(made)
+                ids.append(np.asarray(some, np.int32))
+                starts.append(np.asarray(places, np.int32) + at)
+                at += len(x)
+            all_ids.append(np.concatenate(ids))
+            all_starts.append(np.concatenate(starts))
+        return pa.StructArray.from_arrays([_lists(all_ids), _lists(all_starts)], ["ids", "starts"])
+
+    @F.arrow_udf(_IDS)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tok = make()
         for batch in batches:
-            rows = [templated([(t["role"], t["content"]) for t in ([] if c is None else c)], generation) for c in batch]
-            made = iter(tok.encode_batch([x for row in rows for marker, x in row if not marker]))
-            out = []
-            for row in rows:
-                ids, starts, at = [], [], 0
-                for marker, x in row:
-                    some, places = ([tok.special[x]], [0]) if marker else next(made)
-                    ids += some
-                    starts += [at + p for p in places]
-                    at += len(x)
-                out.append((ids, starts))
-            yield pd.DataFrame({"ids": [i for i, _ in out], "starts": [s for _, s in out]})
+            sizes = [0] * len(batch)
+            texts = pc.binary_length(batch.flatten().field("content"))
+            for row, n in zip(pc.list_parent_indices(batch).to_pylist(), texts.to_pylist(), strict=True):
+                sizes[row] += n or 0
+            for part in _parts(sizes):
+                yield encoded(tok, batch[part].to_pylist())
 
     return run(turns)
 
@@ -111,22 +145,23 @@ def detokenised(ids: Column, factory: Callable[[], Tokenizer] | None = None) ->
     """The templated text of ids: markers as they are written, the rest decoded between them."""
     make = factory or byte_tokenizer()
 
-    @F.pandas_udf(T.StringType())
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.StringType())
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tok = make()
         names = {i: m for m, i in tok.special.items()}
+
+        def text(row: np.ndarray) -> str:
+            out, after = [], 0
+            for at in [*np.flatnonzero(np.isin(row, list(names))).tolist(), len(row)]:
+                out += [tok.decode(row[after:at].tolist()) if at > after else "", names[int(row[at])] if at < len(row) else ""]
+                after = at + 1
+            return "".join(out)
+
         for batch in batches:
-            out = []
-            for row in batch:
-                text, held = "", []
-                for i in [*([] if row is None else row), None]:
-                    if i is None or i in names:
-                        text += (tok.decode(held) if held else "") + names.get(i, "")
-                        held = []
-                    else:
-                        held.append(int(i))
-                out.append(text)
-            yield pd.Series(out, dtype="object")
+            sizes = pc.coalesce(pc.list_value_length(batch), 0)
+            for part in _parts(sizes.to_pylist()):
+                rows = batch[part]
+                yield pa.array([text(row.values.to_numpy(zero_copy_only=False)) if row.is_valid else "" for row in rows], pa.string())
 
     return run(ids)
 
