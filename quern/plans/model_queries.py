@@ -12,7 +12,7 @@ from quern.functions.encoders import bridge_phrases, encode
 from quern.operators import retrieval as R
 from quern.operators.storage import stable
 from quern.plans.registry import Tables, query, quoted
-from quern.plans.retrieval_queries import _SPARSE_SQL, _hits, _sparse_index, _with_chunks
+from quern.plans.retrieval_queries import _SPARSE_SQL, _hits, _sparse_found, _with_chunks
 from quern.plans.text_queries import qa
 
 
@@ -64,12 +64,8 @@ SELECT item_id, seed, phrase, CAST(df AS BIGINT) AS df, CAST(row_number() OVER (
 )
 def bridge_terms(t: Tables) -> DataFrame:
     """The phrases of each of the three best passages that matter most: often there and rare in the corpus, 24 at most."""
-    from quern.operators import sparse_index as S
-
-    chunks, index, asked = _sparse_index(t)
-    seeds = stable(S.search(index, asked, 3))
-    of_docs = chunks.join(seeds.select(F.floor(F.col("pid") / R.CHUNKS).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = seeds.join(of_docs.select("pid", F.array_join("tok", " ").alias("passage")), "pid")
+    seeds = _sparse_found(t, 3).select("query", "pid", "rank")
+    texts = _with_chunks(t, seeds).select("query", "rank", F.array_join("tok", " ").alias("passage"))
     held = texts.select(F.col("query").alias("item_id"), F.col("rank").alias("seed"), F.explode(bridge_phrases(F.col("passage"), X.STOPWORDS)).alias("phrase"))
     held = stable(held.groupBy("item_id", "seed", "phrase").agg(F.count(F.lit(1)).alias("tf")))
     # Only phrases that are asked for are counted in the corpus, each once a document before any shuffle.
