@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import metrics as M
 from quern.functions import text as X
+from quern.functions.arrays import once
 from quern.plans.registry import Tables, f1, h8, multiset, norm_a, norm_b, query, quoted, tokens
 
 #: Predictions and gold answers: the assistant's turn against the user's turn before it.
@@ -194,9 +195,11 @@ def consecutive_dedup(t: Tables) -> DataFrame:
 )
 def ordered_unique_ci(t: Tables) -> DataFrame:
     """Distinct words in first-seen order and casing, ignoring case."""
-    w = t.documents.select("doc_id", F.posexplode(F.split("text", X.WS)).alias("pos", "w")).where("w <> ''")
-    first = w.groupBy("doc_id", F.lower("w")).agg(F.min_by("w", "pos").alias("w"), F.min("pos").alias("pos"))
-    g = first.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "w"))).alias("l"))
+    # Within a document's own array, sorted by word and place: the first of each word, then by place again.
+    placed = F.sort_array(F.transform(X.tokens(F.col("text")), lambda w, i: F.struct(F.lower(w).alias("k"), i.alias("i"), w.alias("w"))))
+    first = once(placed, lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["k"] != x["k"])))
+    some = t.documents.where(F.size(X.tokens(F.col("text"))) > 0)  # asked of the tokens, as a filter on `l` would make it twice
+    g = some.select("doc_id", F.sort_array(F.transform(first, lambda x: F.struct(x["i"], x["w"].alias("w")))).alias("l"))
     return g.select("doc_id", F.md5(F.array_join(F.col("l.w"), " ")).alias("words_md5"), F.size("l").cast("long").alias("n"))
 
 
