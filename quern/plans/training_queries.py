@@ -61,9 +61,9 @@ def labels_mask(t: Tables) -> DataFrame:
 @query("response_labels", f"WITH {QA_SQL}, l AS (SELECT conv_id, turn, {tokens('gold')} AS q, {tokens('pred')} AS a FROM qa) SELECT conv_id, turn, array_to_string(list_concat(list_transform(q, lambda w: -100), list_transform(a, lambda w: length(w))), ' ') AS labels FROM l")
 def response_labels(t: Tables) -> DataFrame:
     """Ids are word lengths; -100 outside the response's span."""
-    ids = F.transform(F.concat(X.tokens(F.col("gold")), X.tokens(F.col("pred"))), F.length)
-    start = F.size(X.tokens(F.col("gold")))
-    return qa(t).select("conv_id", "turn", F.array_join(F.transform(A.labels_of(ids, start, F.size(ids)), lambda x: x.cast("string")), " ").alias("labels"))
+    tok = qa(t).select("conv_id", "turn", X.tokens(F.col("gold")).alias("q"), X.tokens(F.col("pred")).alias("a"))
+    ids = F.transform(F.concat("q", "a"), F.length)
+    return tok.select("conv_id", "turn", F.array_join(F.transform(A.labels_of(ids, F.size("q"), F.size("q") + F.size("a")), lambda x: x.cast("string")), " ").alias("labels"))
 
 
 @query("position_ids", f"WITH {_TURNS} SELECT conv_id, string_agg(array_to_string(range(0, n), ' '), ' ' ORDER BY turn) AS positions FROM tn GROUP BY conv_id")
