@@ -35,7 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A text is like a language if its cosine with the prototype is not below what nearly all labelled texts of about its
     length reach; where no language could be learned only texts without a letter go.
     """
-    model = language.learn(docs, limits=True)
+    model = language.learn(docs, sample=None, limits=True)
     found = language.predict(docs, model, keep=docs.columns)
     known = F.col("__q_score") >= F.col("__q_least") if model.langs else F.lit(True)
     return found.where(F.col("__q_letters") & known).select(*(F.col(f"`{c}`") for c in docs.columns))

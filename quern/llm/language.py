@@ -5,7 +5,7 @@ by its distance from the n-gram's end (binding by permutation); a text's profile
 (bundling). A language's prototype is the sum of its documents' profiles, each scaled to length one. The language whose prototype has the greatest cosine with a text's profile wins.
 
 Prototypes are learned from at most about `sample` labelled rows of each language (a documented bound, chosen by a hash
-of the id), so that a rare language is learned from all its rows at any size. On demand the same rows also give limits:
+of the id), so that a rare language is learned from all its rows at any size; the pipeline learns from all rows. On demand the same rows also give limits:
 for a language's texts of about one length (a power of two of letters) the cosine with it that all but a thousandth of
 them reach, less a fifth; texts of fewer than 32 letters have no limit. What is below is like no language that was learned: random letters, keys, encoded bytes.
 
@@ -100,8 +100,8 @@ def length_class(text: str | None) -> int:
     return int((_letters()[codes] != 0).sum()).bit_length()
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, dim: int = DIM, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limits: bool = False) -> Model:
-    """Languages and their prototypes, from the rows of `docs` that have an id, a text and a language.
+def learn(docs: DataFrame, sample: int | None = SAMPLE, dim: int = DIM, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limits: bool = False) -> Model:
+    """Languages and their prototypes, from the rows of `docs` that have an id, a text and a language; with `sample` None from all of them.
 
     Sums are of whole numbers, so they don't depend on the order in which partitions arrive.
     """
@@ -111,8 +111,10 @@ def learn(docs: DataFrame, sample: int = SAMPLE, dim: int = DIM, seed: int = SEE
     none = Model([], np.zeros((0, dim), np.float32), np.zeros((0, 64)))
     if not counts:
         return none
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, sample / n) * (1 << 20)))))
-    picked = labelled.where(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 20)) < F.element_at(share, F.col("lang"))).select("lang", "__q_text")
+    picked = labelled.select("lang", "__q_text")
+    if sample is not None:
+        share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, sample / n) * (1 << 20)))))
+        picked = labelled.where(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 20)) < F.element_at(share, F.col("lang"))).select("lang", "__q_text")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
