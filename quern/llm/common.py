@@ -144,6 +144,16 @@ def without_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return marked.where(~F.col("__q_hit")).drop("__q_hit").unionByName(met.drop("__q_in"))
 
 
+def joined_ids(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """`rows` with the columns of `found` (each __q_uid once), null where there is none; most rows without any never meet it.
+
+    A sorted join at every size, as `found` grows with the rows.
+    """
+    marked = _marked(rows, found.select("__q_uid"))
+    met = marked.where("__q_hit").drop("__q_hit").join(found.hint("merge"), "__q_uid", "left")
+    return marked.where(~F.col("__q_hit")).drop("__q_hit").unionByName(met, allowMissingColumns=True)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize, partitions, release, with_uid
+from quern.llm.common import joined_ids, materialize, partitions, release, with_uid
 
 MIN_LINES = 2
 #: In the pipeline, a line of so many words counts as a run of its own.
@@ -134,7 +134,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_
     new = removed_lines(rows, min_lines, id_col, text_col, long_words)
     # Stretches that touch are one run.
     stretch = F.sort_array(F.collect_list(F.struct("start", "end")))
-    gone = new.groupBy(F.col("uid").alias("__q_uid")).agg(stretch.alias("__q_gone"))
+    gone = materialize(new.groupBy(F.col("uid").alias("__q_uid")).agg(stretch.alias("__q_gone")), "gone")
     lines, none = _lines(text_col), F.array().cast("array<struct<start:int,end:int>>")
     held = F.coalesce("__q_gone", none)
     # What is kept lies between one stretch's end and the next one's start.
@@ -142,7 +142,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_
     kept = F.flatten(F.transform(F.filter(gaps, lambda g: g["b"] > g["a"]), lambda g: F.slice(lines, g["a"] + 1, g["b"] - g["a"])))
     removed = F.aggregate(held, F.lit(0), lambda n, r: n + r["end"] - r["start"])
     runs = F.size(F.filter(held, lambda r, i: (i == 0) | (F.element_at(held, F.greatest(i, F.lit(1)))["end"] != r["start"])))
-    joined = rows.join(gone, "__q_uid", "left")
+    joined = joined_ids(rows, gone)  # texts that lose nothing aren't shuffled
     return joined.select(
         *[F.when(F.col("__q_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__q_n_lines"), removed.cast("long").alias("__q_n_removed"), runs.cast("long").alias("__q_n_runs"),
