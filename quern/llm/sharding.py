@@ -105,8 +105,10 @@ def _widest(open_: DataFrame, dims: int) -> dict[int, tuple[int, int]]:
 
 
 def _split(open_: DataFrame, nodes: dict[int, Node], dims: int, limit: float) -> None:
-    """Finds dimension and split of all nodes of one depth, ten bits of their keys at a time."""
+    """Finds dimension and split of all nodes of one depth that have cells, ten bits of their keys at a time."""
     widest = _widest(open_, dims)
+    if not widest:
+        return
     key = F.coalesce(*(F.when(F.col("node") == n, F.col(f"k{dim}")) for n, (dim, _) in widest.items()))
     keyed = open_.select("node", key.alias("key"), "weight")
     wanted, below, low = {}, {}, {}
@@ -144,6 +146,8 @@ def grow(cells: DataFrame, dims: int, shards: int, limit: float) -> tuple[DataFr
         _split(cells.where(F.col("node").isin([n.first for n in level])), {n.first: n for n in level}, dims, limit)
         below, moved = [], F.lit(None).cast("int")
         for n in level:
+            if n.dim < 0:
+                continue  # no cell came into it
             half = n.shards // 2
             n.lower, n.upper = Node(n.first, half), Node(n.first + half, n.shards - half)
             moved = F.coalesce(moved, F.when((F.col("node") == n.first) & (F.col(f"k{n.dim}") >= n.split), F.lit(n.upper.first)))
