@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import language, line_dedup, packing, shingles, substring_dedup
-from quern.llm.common import finished, materialize, release, table, with_uid, without_ids
+from quern.llm.common import finished, materialize, release, small_batches, table, with_uid, without_ids
 
 #: SQL can express neither the language profiles nor the packing; tests hold run() against a brute-force version.
 ORACLE_SQL = None
@@ -35,6 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A text is like a language if its cosine with the prototype is not below what nearly all labelled texts of about its
     length reach; where no language could be learned only texts without a letter go.
     """
+    small_batches(spark)
     model = language.learn(docs, sample=None, limits=True)
     found = language.predict(docs, model, keep=docs.columns)
     known = F.col("__q_score") >= F.col("__q_least") if model.langs else F.lit(True)
@@ -48,6 +49,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
+    small_batches(spark)
     rows = with_uid(docs)
     later = materialize(shingles.later_of_groups(rows), "later-of-groups")
     return without_ids(rows, later).select(*(F.col(f"`{c}`") for c in docs.columns))
@@ -55,10 +57,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes later copies of passages and keeps the first."""
+    small_batches(spark)
     return _recounted(substring_dedup.dedup(docs, keep_first=True), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(docs)
 
 

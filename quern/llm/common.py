@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextvars import ContextVar
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -154,6 +156,49 @@ def joined_ids(rows: DataFrame, found: DataFrame) -> DataFrame:
     return marked.where(~F.col("__q_hit")).drop("__q_hit").unionByName(met, allowMissingColumns=True)
 
 
+#: What kept() holds in this Python worker, by owner.
+_kept: dict[str, dict[Any, Any]] = {}
+
+
+def kept(owner: str, key: Any, make: Callable[[], Any]) -> Any:
+    """What `make` returns, once for all tasks of a Python worker, until another owner keeps something there.
+
+    Workers go from one operator's tasks to the next one's; the tables of all of them would add up.
+    """
+    if owner not in _kept:
+        _kept.clear()
+        _kept[owner] = {}
+    mine = _kept[owner]
+    if key not in mine:
+        mine[key] = make()
+    return mine[key]
+
+
+#: Rows of an Arrow batch of whole texts.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows, if they have more: a batch of texts is held beside the heap of
+    an executor while it is filled and sent, and again in its Python worker."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow; what a task has freed goes back to the system at its end, as idle workers stay beside the JVM."""
+
+    def ran(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return ran
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

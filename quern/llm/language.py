@@ -29,33 +29,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import slices
+from quern.llm.common import kept, slices, trimmed
 
 DIM, GRAM, SAMPLE, SEED = 512, 3, 5000, 7
 #: Limits: the share of texts that may lie below, the part of that cosine that is asked for, texts for a limit, and the
 #: least length class that is judged (32 letters; what is shorter can't be told from junk); no limit is above MOST.
 BELOW, PART, LEAST_TEXTS, LEAST_CLASS, MOST = 0.001, 0.8, 20, 6, 0.3
 _ITEMS, _BLOCK, _SCALE = 4096, 4096, 1 << 20
-_tables: dict = {}
 
 
 def _letters() -> np.ndarray:
     """Code point to letter number: lower case, 0 for what is no letter."""
-    if "letters" not in _tables:
+
+    def make() -> np.ndarray:
         made = np.zeros(0x110000, np.uint16)
         for c in range(0x32400):
             if (ch := chr(c)).isalpha():
                 made[c] = 1 + ord(ch.lower()[0]) % (_ITEMS - 1)
-        _tables["letters"] = made
-    return _tables["letters"]
+        return made
+
+    return kept("language", "letters", make)
 
 
 def _items(dim: int, seed: int) -> list[np.ndarray]:
     """The letters' vectors, rolled by 0, 1, ... places."""
-    if (dim, seed) not in _tables:
+
+    def make() -> list[np.ndarray]:
         base = np.random.default_rng(seed).integers(0, 2, (_ITEMS, dim), dtype=np.int8) * 2 - 1
-        _tables[dim, seed] = [np.roll(base, k, axis=1) for k in range(GRAM)]
-    return _tables[dim, seed]
+        return [np.roll(base, k, axis=1) for k in range(GRAM)]
+
+    return kept("language", (dim, seed), make)
 
 
 def profile(text: str | None, dim: int = DIM, seed: int = SEED) -> np.ndarray | None:
@@ -126,7 +129,7 @@ def learn(docs: DataFrame, sample: int | None = SAMPLE, dim: int = DIM, seed: in
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(sums), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["lang", "vec"])
 
-    parts = picked.mapInArrow(bundle, "lang string, vec array<bigint>")
+    parts = picked.mapInArrow(trimmed(bundle), "lang string, vec array<bigint>")
     sums = parts.select("lang", F.posexplode("vec").alias("k", "v")).groupBy("lang", "k").agg(F.sum("v").alias("v"))
     rows = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("vec")).orderBy("lang").collect()
     if not rows:
@@ -153,7 +156,7 @@ def _limits(picked: DataFrame, model: Model, seed: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in rows], ["lang", "size", "cos"])
 
     counts = np.zeros((len(at), 64, 1101), np.int64)  # what is collected is bounded by this table
-    for r in picked.mapInArrow(judge, "lang int, size int, cos int").groupBy("lang", "size", "cos").agg(F.count(F.lit(1)).alias("n")).collect():
+    for r in picked.mapInArrow(trimmed(judge), "lang int, size int, cos int").groupBy("lang", "size", "cos").agg(F.count(F.lit(1)).alias("n")).collect():
         counts[r["lang"], r["size"], r["cos"]] = r["n"]
     out = np.zeros((len(at), 64))
     for lang in range(len(at)):
@@ -198,7 +201,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     else:
         df, text, out, more = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col]))), text_col, list(keep), "__q_lang string, __q_score double, __q_least double, __q_letters boolean"
     schema = T.StructType([*(df.schema[c] for c in out), *T.StructType.fromDDL(more)])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def learning_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -22,14 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import slices
+from quern.llm.common import kept, slices, trimmed
 
 VOCABULARY, CAPACITY, GRAIN, GROUP, END = "byte_bpe_50k.json", 1024, 64, 384, 0
 #: Documents to a bucket, of which a task packs one after the other.
 PER_BUCKET = 2048
 #: All but the characters for which both libraries' patterns are known to agree (letters and signs up to U+024F).
 _PLAIN = re.compile("[^\t-\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
-_tokenizers: dict = {}
 
 
 class FastTokenizer:
@@ -66,9 +65,7 @@ class FastTokenizer:
 
 
 def tokenizer(name: str) -> FastTokenizer:
-    if name not in _tokenizers:
-        _tokenizers[name] = FastTokenizer(name)
-    return _tokenizers[name]
+    return kept("packing", name, lambda: FastTokenizer(name))
 
 
 def cuts(total: int, capacity: int = CAPACITY, grain: int = GRAIN) -> list[tuple[int, int]]:
@@ -186,7 +183,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // PER_BUCKET)))
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     kind = df.schema["doc_id"].dataType.simpleString()
-    pieces = df.mapInArrow(_pieces(vocabulary, capacity, grain), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    pieces = df.mapInArrow(trimmed(_pieces(vocabulary, capacity, grain)), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
     pieces = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "length"), F.lit(buckets)))
     pieces = pieces.repartition(buckets, "_bucket").sortWithinPartitions("_bucket", "doc_id", "start", "ids_crc32", "doc_tokens")
-    return pieces.mapInArrow(_packed(capacity, group), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long")
+    return pieces.mapInArrow(trimmed(_packed(capacity, group)), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long")

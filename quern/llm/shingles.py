@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import simhash
-from quern.llm.common import materialize, partitions, release, slices, with_ids
+from quern.llm.common import materialize, partitions, release, slices, trimmed, with_ids
 from quern.llm.components import components
 
 SHINGLE, BANDS, ROWS, HASHES, SEED = 5, 25, 5, 200, 42
@@ -103,7 +103,7 @@ def _sketches(rows: DataFrame) -> DataFrame:
             columns = (batch.column("uid"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(held, pa.list_(pa.int64())), pa.array(marks, pa.binary()))
             yield pa.RecordBatch.from_arrays(list(columns), ["uid", "a", "b", "n", "fp", "keys", "mark"])
 
-    return rows.mapInArrow(run, "uid long, a long, b long, n int, fp long, keys array<bigint>, mark binary")
+    return rows.mapInArrow(trimmed(run), "uid long, a long, b long, n int, fp long, keys array<bigint>, mark binary")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def _sets(rows: DataFrame) -> DataFrame:
             found = [shingles(t).view(np.int64) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(found, pa.list_(pa.int64()))], ["uid", "h"])
 
-    return rows.select("uid", "_text").mapInArrow(run, "uid long, h array<bigint>")
+    return rows.select("uid", "_text").mapInArrow(trimmed(run), "uid long, h array<bigint>")
 
 
 def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, marks: DataFrame, best: bool =
     if best:
         pairs = pairs.groupBy("u").agg(F.max_by(F.struct("v", "size"), F.struct("keys", -F.col("v"))).alias("p")).select("u", "p.v", "p.size")
     both = pairs.join(marks.toDF("u", "x"), "u").join(marks.toDF("v", "y"), "v")
-    judged = materialize(both.select("u", "v", "size", "x", "y").mapInArrow(close, "u long, v long, size int, same int"), "pairs")
+    judged = materialize(both.select("u", "v", "size", "x", "y").mapInArrow(trimmed(close), "u long, v long, size int, same int"), "pairs")
     sure, pairs = judged.where(F.col("same") >= SURE).select("u", "v"), judged.where(F.col("same") < SURE)
     nodes = materialize(pairs.select(F.col("u").alias("__q_uid")).union(pairs.select("v")).distinct(), "nodes")
     sets = materialize(_sets(_only(rows, nodes)), "sets")
@@ -266,11 +266,11 @@ def _in_blocks(rooted: DataFrame, marks: DataFrame, rows: DataFrame) -> DataFram
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    kept = dealt(cells.join(marks, "u").select(*narrow, "mark")).mapInArrow(by_cell(surviving), "key long, i int, j int, own int, u long, n int, root long")
+    kept = dealt(cells.join(marks, "u").select(*narrow, "mark")).mapInArrow(trimmed(by_cell(surviving)), "key long, i int, j int, own int, u long, n int, root long")
     kept = materialize(kept, "alike")
     alive = materialize(kept.select(F.col("u").alias("__q_uid")).distinct(), "alive")
     held = materialize(marks.join(_sets(_only(rows, alive)).withColumnRenamed("uid", "u"), "u"), "held")
-    out = dealt(kept.join(held, "u").select(*narrow, "mark", "h")).mapInArrow(by_cell(linked), "u long, v long")
+    out = dealt(kept.join(held, "u").select(*narrow, "mark", "h")).mapInArrow(trimmed(by_cell(linked)), "u long, v long")
     return materialize(out.distinct(), "links")
 
 

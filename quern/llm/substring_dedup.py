@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize, partitions, release, slices, with_uid
+from quern.llm.common import materialize, partitions, release, slices, trimmed, with_uid
 
 WIDTH, GRAM, BLOCK = 200, 32, 1 << 19
 #: Classes that one task sorts together, about 1.5 MB of texts and 100 MB of sorting; a greater group is halved.
@@ -122,7 +122,7 @@ def anchors(docs: DataFrame, width: int, gram: int) -> DataFrame:
                     ["uid", "off", "fp", "sig", "full"],
                 )
 
-    return docs.select("__q_uid", "__q_text").where(F.col("__q_text").isNotNull()).mapInArrow(run, "uid long, off long, fp long, sig int, full long")
+    return docs.select("__q_uid", "__q_text").where(F.col("__q_text").isNotNull()).mapInArrow(trimmed(run), "uid long, off long, fp long, sig int, full long")
 
 
 def suffix_order(texts: list[bytes], width: int, wanted: list[tuple[int, int]]) -> tuple[np.ndarray, ...]:
@@ -228,7 +228,7 @@ def _fetch(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], _CLASS)
 
     joined = rows.select(F.col("__q_uid").alias("uid"), "__q_text").join(lists, "uid").select("uid", "__q_text", "cut")
-    return joined.mapInArrow(run, "fp long, sig int, full long, n long, uid long, off long, bytes binary")
+    return joined.mapInArrow(trimmed(run), "fp long, sig int, full long, n long, uid long, off long, bytes binary")
 
 
 _CLASS = ["fp", "sig", "full", "n", "uid", "off", "bytes"]
@@ -264,7 +264,7 @@ def _sorted_groups(contexts: DataFrame, width: int, keep_first: bool) -> DataFra
             yield flush()
 
     parts = contexts.repartition(partitions(contexts.sparkSession), "part").sortWithinPartitions("part", "uid", "off")
-    return parts.mapInArrow(run, _RUNS)
+    return parts.mapInArrow(trimmed(run), _RUNS)
 
 
 def _halved(contexts: DataFrame, width: int, gram: int) -> DataFrame:
@@ -289,7 +289,7 @@ def _halved(contexts: DataFrame, width: int, gram: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_pylist(out, batch.schema)
 
-    return contexts.mapInArrow(run, _ROW)
+    return contexts.mapInArrow(trimmed(run), _ROW)
 
 
 def _equal_parts(contexts: DataFrame, width: int, keep_first: bool) -> DataFrame:
@@ -304,7 +304,7 @@ def _equal_parts(contexts: DataFrame, width: int, keep_first: bool) -> DataFrame
             d, e = [(x >> 64) - (1 << 63) for x in sums], [(x & ((1 << 64) - 1)) - (1 << 63) for x in sums]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _CLASS[:6]), pa.array(starts, pa.int32()), pa.array(d, pa.int64()), pa.array(e, pa.int64())], [*_CLASS[:6], "s", "d", "e"])
 
-    windows = materialize(contexts.mapInArrow(run, "fp long, sig int, full long, n long, uid long, off long, s int, d long, e long"), "windows")
+    windows = materialize(contexts.mapInArrow(trimmed(run), "fp long, sig int, full long, n long, uid long, off long, s int, d long, e long"), "windows")
     found = materialize(windows.groupBy("d", "e").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("uid", "off")).alias("first")).where(F.col("k") > 1), "equal")
     joined = windows.join(found, ["d", "e"])
     gone = joined.where(F.struct("uid", "off") > F.col("first")) if keep_first else joined
@@ -406,6 +406,6 @@ def dedup(docs: DataFrame, width: int = WIDTH, keep_first: bool = True, id_col:
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()) if c == text_col else batch.column(c) for c in names], names)
 
     if digest:
-        return joined.select("doc_id", "__q_text", "__q_ranges").mapInArrow(numbers, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        return joined.select("doc_id", "__q_text", "__q_ranges").mapInArrow(trimmed(numbers), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    return joined.select(*others, "__q_text", "__q_ranges").mapInArrow(texts, docs.schema)
+    return joined.select(*others, "__q_text", "__q_ranges").mapInArrow(trimmed(texts), docs.schema)

@@ -82,3 +82,52 @@ def test_the_filter_rules_most_rows_out(spark):
     rows = spark.range(100000).select(F.col("id").alias("__q_uid"))
     hit = {r["__q_uid"] for r in _marked(rows, rows.where("__q_uid % 100 = 0")).where("__q_hit").collect()}
     assert set(range(0, 100000, 100)) <= hit and len(hit) < 1200
+
+
+def test_a_worker_keeps_one_owners_tables(monkeypatch):
+    from quern.llm import common as C
+    from quern.llm import language, packing
+
+    monkeypatch.setattr(C, "_kept", {})
+    monkeypatch.setattr(packing, "FastTokenizer", lambda name: object())
+    held = packing.tokenizer("a")
+    assert packing.tokenizer("a") is held and packing.tokenizer("b") is not held
+    assert language.profile("some words") is not None
+    assert set(C._kept) == {"language"}
+    letters = language._letters()
+    assert letters is language._letters()
+
+
+def test_the_pipeline_sends_small_batches_of_texts(spark):
+    import corpus_pipeline
+
+    from quern.llm.common import BATCH_ROWS
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.range(5000).selectExpr("id AS doc_id", "concat('some english words number ', id) AS text", "'en' AS lang", "'s' AS source", "10 AS n_chars").coalesce(1)
+    before = spark.conf.get(key)
+    try:
+        for rows, most in (("10000", BATCH_ROWS), ("0", BATCH_ROWS), ("7", 7)):
+            spark.conf.set(key, rows)
+            assert corpus_pipeline.language_id(spark, docs.limit(1), "") is not None
+            assert int(spark.conf.get(key)) == most
+
+        spark.conf.set(key, "10000")
+        assert corpus_pipeline.language_id(spark, docs, "").count() == 5000
+
+        def sizes(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+        found = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert sum(found) == 5000 and max(found) <= BATCH_ROWS
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_trimmed_gives_all_batches(spark):
+    from quern.llm.common import trimmed
+
+    assert sorted(r["id"] for r in spark.range(100).mapInArrow(trimmed(lambda batches: batches), "id long").collect()) == list(range(100))
